@@ -39,6 +39,29 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN r USING (host)
 """
 
+OP3 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(words[i:i + 3], ' ') AS g
+  FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 2, 2))) AS i FROM w WHERE len(words) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+v AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT x, y FROM v JOIN n p ON p.doc_id = x JOIN n q ON q.doc_id = y
+  WHERE 100 * shared >= 85 * (p.n + q.n - shared)),
+r AS (SELECT x AS a, x AS b FROM e UNION SELECT r.a, e.y FROM r JOIN e ON e.x = r.b),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT doc_id, string_agg(g, chr(10) ORDER BY g) AS key FROM s GROUP BY doc_id),
+f AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY key) AS class_id FROM k)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, coalesce(c.component_id, w.doc_id) AS component_id,
+       coalesce(f.class_id, w.doc_id) AS class_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.a = w.doc_id LEFT JOIN f USING (doc_id)
+"""
+
 OP9 = """
 WITH p AS (SELECT page_id, url, coalesce(html, '') AS html FROM pages),
 d AS (SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest FROM p),
@@ -51,4 +74,4 @@ FROM f
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_quality_rules": OP5, "op9_warc": OP9}
+    return {"op3_ngram_jaccard": OP3, "op5_quality_rules": OP5, "op9_warc": OP9}
