@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, quality, shards, warc
+from . import bpe, jaccard, quality, shards, substrings, warc
 from .scratch import Scratch, table
 
 
@@ -25,6 +25,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(docs, tokenizers.path("byte_bpe_multi_50k.tiktoken"), tokenizers.PATTERN)
 
 
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard(table(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -38,6 +42,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
         "op6_byte_bpe": op6_byte_bpe,
+        "op7_suffix_dedup": op7_suffix_dedup,
         "op8_sharding": op8_sharding,
         "op9_warc": op9_warc,
     }
