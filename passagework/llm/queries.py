@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, jaccard, quality, shards, substrings, warc
+from . import bayes, bpe, decontaminate, jaccard, quality, shards, substrings, warc
 from .scratch import Scratch, table
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -37,14 +41,20 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.pages_to_warc(table(spark, sf_dir, "pages"), Scratch(spark))
 
 
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bayes.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_decontamination": op1_decontamination,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op5_quality_rules": op5_quality_rules,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_suffix_dedup": op7_suffix_dedup,
         "op8_sharding": op8_sharding,
         "op9_warc": op9_warc,
+        "op10_quality_classifier": op10_quality_classifier,
     }
 
 

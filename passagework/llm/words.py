@@ -23,6 +23,9 @@ _SPACE[[32, *range(9, 14)]] = True
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 _FOLDED[_SPACE] = 0
+#: For bare words ASCII marks divide as well.
+_MARKS = _SPACE.copy()
+_MARKS[[*range(0, 48), *range(58, 65), *range(91, 97), *range(123, 128)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -78,11 +81,18 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def find_words(raw: np.ndarray, off: np.ndarray) -> Words:
+def find_words(raw: np.ndarray, off: np.ndarray, bare: bool = False) -> Words:
+    """Words of a slice; ``bare``: runs of ASCII letters, digits and bytes beyond ASCII, where capitals of Latin-1
+    count as small letters too."""
+    divides = _MARKS if bare else _SPACE
+    if bare and len(raw):
+        capital = (raw[1:] >= 0x80) & (raw[1:] <= 0x9E) & (raw[1:] != 0x97) & (raw[:-1] == 0xC3)
+        raw = raw.copy()
+        raw[1:][capital] += 0x20
     if not len(raw):
         none = np.zeros(0, np.int64)
         return Words(none, none, np.zeros(0, np.uint64), np.zeros(len(off), np.int64))
-    word = ~_SPACE[raw]
+    word = ~divides[raw]
     begins = word.copy()
     begins[1:] &= ~word[:-1]
     edges = off[(off > 0) & (off < len(raw))]
@@ -94,7 +104,7 @@ def find_words(raw: np.ndarray, off: np.ndarray) -> Words:
     length = np.add.reduceat(word, start, dtype=np.int64)
     span = np.diff(start, append=len(raw))
     place = np.arange(start[0], len(raw)) - np.repeat(start, span)
-    value = _FOLDED[raw[start[0] :]] * powers(int(span.max()))[place]
+    value = np.where(word[start[0] :], _FOLDED[raw[start[0] :]], _U(0)) * powers(int(span.max()))[place]
     hashed = mix(np.add.reduceat(value, start - start[0]) ^ (length.astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
     return Words(start, start + length, hashed, np.searchsorted(start, off))
 
