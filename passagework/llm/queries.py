@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes, bpe, decontaminate, jaccard, quality, shards, substrings, warc
+from . import bayes, bpe, decontaminate, jaccard, lines, quality, shards, substrings, warc
 from .scratch import Scratch, table
 
 
@@ -18,6 +18,10 @@ def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.report(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op3_ngram_jaccard": op3_ngram_jaccard,
+        "op4_line_dedup": op4_line_dedup,
         "op5_quality_rules": op5_quality_rules,
         "op6_byte_bpe": op6_byte_bpe,
         "op7_suffix_dedup": op7_suffix_dedup,
