@@ -25,19 +25,23 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 MIN_REVISIT = 100
+#: Digests of repeated payloads are broadcast up to so many (some 100 bytes each), else joined by a shuffle.
+BROADCAST_DIGESTS = 100_000
 CHUNK = 1 << 16
 CHUNKS = "archive int, record_id string, page_id long, chunk_no int, last boolean, data binary, digest_so_far string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 DATE = "2024-01-01T00:00:00Z"
 
 
-def plan_records(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
+def plan_records(pages: DataFrame, scratch: Scratch, min_revisit: int = MIN_REVISIT) -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, refers_to (null: a response) of each row."""
     payload = F.encode(F.coalesce(F.col("html"), F.lit("")), "UTF-8")
     given = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", payload.alias("payload"))
     given = given.withColumns({"payload_bytes": F.octet_length("payload").cast("long"), "payload_digest": F.sha2("payload", 256)})
     first = given.where(F.col("payload_bytes") >= min_revisit).groupBy("payload_digest").agg(F.min("page_id").alias("first_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    joined = given.join(first, "payload_digest", "left")
+    first = scratch.save(first, "repeated")
+    small = first.count() <= BROADCAST_DIGESTS
+    joined = given.join(F.broadcast(first) if small else first, "payload_digest", "left")
     return joined.select("page_id", "url", F.when(F.col("first_id") < F.col("page_id"), F.lit(None)).otherwise(F.col("payload")).alias("payload"), "payload_bytes", "payload_digest", F.when(F.col("first_id") < F.col("page_id"), F.col("first_id")).alias("refers_to"))
 
 
@@ -137,7 +141,7 @@ def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def write_archives(pages: DataFrame, scratch: Scratch, name: str = "warc", min_revisit: int = MIN_REVISIT, chunk: int = CHUNK) -> DataFrame:
     """The chunk table of ``pages``, in the shared folder."""
-    return scratch.save(plan_records(pages, min_revisit).mapInArrow(lambda it: write_chunks(it, chunk), CHUNKS), name)
+    return scratch.save(plan_records(pages, scratch, min_revisit).mapInArrow(lambda it: write_chunks(it, chunk), CHUNKS), name)
 
 
 def read_archives(chunks: DataFrame) -> DataFrame:
