@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bayes, bpe, decontaminate, jaccard, lines, quality, shards, substrings, warc
+from . import bayes, bpe, chains, decontaminate, jaccard, lines, quality, shards, substrings, warc
 from .scratch import Scratch, table
 
 
@@ -14,6 +14,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_substring_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chains.repeated_passages(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
 def op3_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"), Scratch(spark))
 
@@ -52,6 +56,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_substring_chains": op2_substring_chains,
         "op3_ngram_jaccard": op3_ngram_jaccard,
         "op4_line_dedup": op4_line_dedup,
         "op5_quality_rules": op5_quality_rules,
