@@ -15,6 +15,9 @@ Which tokens are common decides speed, not results. They are found in one pass:
 that share in some block of the input, so blocks report the tokens that reach the share. The list has at most
 2 ** 21 tokens (each stands for 2 ** -21 of all tokens), 16 MB, and is broadcast.
 
+A candidate pair is held against parity sketches first, where each token flips one bit: sets that differ in few tokens
+differ in few bits, so a pair with more is no link. What passes is verified on the whole sets.
+
 A text is linked with others if 100 * intersection >= ``percent`` * union. Nulls and empty texts have empty sets,
 linked with nothing. A row without a doc_id links nothing and has no component. Rows that share a doc_id count as
 one document. Extra columns are ignored. An empty table gives no rows.
@@ -103,22 +106,58 @@ def among(s: np.ndarray, table: np.ndarray) -> np.ndarray:
     return table[np.minimum(np.searchsorted(table, s), len(table) - 1)] == s
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Parities of the tokens by their low bits: a power of two of them, half to one times the tokens."""
+    bits = 64
+    while bits < len(s) // 2:
+        bits *= 2
+    return np.packbits(np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """Bits by which sketches differ, the larger folded to the smaller: at most the tokens that only one set has."""
+    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
+
+
+def _alike(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (2, 4))
+            bar = n + m - 2 * needed(n, m, percent)
+            ok = [least_difference(a.as_py(), b.as_py()) <= d for a, b, d in zip(batch.column(3), batch.column(5), bar.tolist(), strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(ok, pa.bool_()))
+
+    return run
+
+
+def alike(pairs: DataFrame, reps: DataFrame, percent: int) -> DataFrame:
+    """The pairs (x, y) that the sketches allow."""
+    own = lambda c: reps.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("sketch").alias(f"s{c}"))
+    return pairs.join(own("x"), "x").join(own("y"), "y").select("x", "y", "nx", "sx", "ny", "sy").mapInArrow(_alike(percent), "x long, y long").distinct()
+
+
 def _signatures(k: int, percent: int, common):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = common.value
         for batch in batches:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
-            rows, n, prints, cold, prefixes = [], [], [], [], []
+            rows, n, prints, cold, prefixes, sketches = [], [], [], [], [], []
             for r, s in sets_of(batch, k):
                 rows.append(r)
                 n.append(len(s))
+                sketches.append(sketch(s))
                 prints.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 p = prefix_length(len(s), percent)
                 hot = among(s, table)
                 first = s[~hot][:p]
                 cold.append(len(first))
                 prefixes.append(np.concatenate([first, s[hot][: p - len(first)]]).tobytes())
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(n, pa.int32()), pa.array(prints, pa.binary()), pa.array(cold, pa.int32()), pa.array(prefixes, pa.binary())], ["doc_id", "n", "fp", "cold", "prefix"])
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(rows, pa.int64())), pa.array(n, pa.int32()), pa.array(prints, pa.binary()), pa.array(cold, pa.int32()), pa.array(prefixes, pa.binary()), pa.array(sketches, pa.binary())], ["doc_id", "n", "fp", "cold", "prefix", "sketch"])
 
     return run
 
@@ -315,8 +354,8 @@ def link(docs: DataFrame, scratch: Scratch, k: int = WORDS, percent: int = PERCE
     buckets = max(4096, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     hot = spark.sparkContext.broadcast(common_tokens(docs, scratch, k, "common"))
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    rows = scratch.save(given.mapInArrow(_signatures(k, percent, hot), "doc_id long, n int, fp binary, cold int, prefix binary"), "rows")
-    reps = rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cold").alias("cold"), F.first("prefix").alias("prefix"))
+    rows = scratch.save(given.mapInArrow(_signatures(k, percent, hot), "doc_id long, n int, fp binary, cold int, prefix binary, sketch binary"), "rows")
+    reps = rows.where("n > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("cold").alias("cold"), F.first("prefix").alias("prefix"), F.first("sketch").alias("sketch"))
     reps = scratch.save(reps, "reps")
 
     lists = reps.mapInArrow(_blobs(buckets), "bucket int, blob binary").repartition("bucket").sortWithinPartitions("bucket")
@@ -326,7 +365,7 @@ def link(docs: DataFrame, scratch: Scratch, k: int = WORDS, percent: int = PERCE
     leaders = hot_rows.groupBy("t").agg(F.count("*").alias("c"), F.min_by("x", order).alias("x_"), F.min(order).alias("o")).where("c > 1")
     leaders = leaders.select("t", "x_", F.shiftright("o", 32).cast("int").alias("i_"), F.col("o").bitwiseAND((1 << 32) - 1).cast("int").alias("n_"))
     starred = hot_rows.join(leaders, "t").where("x <> x_").where(_bounds(percent)).select(F.least("x", "x_").alias("x"), F.greatest("x", "x_").alias("y"))
-    pairs = scratch.save(lists.where("t is null").select("x", "y").unionByName(starred).distinct(), "pairs")
+    pairs = scratch.save(alike(lists.where("t is null").select("x", "y").unionByName(starred).distinct(), reps, percent), "pairs")
     edges = verify(pairs, docs, scratch, k, percent, "edges")
     found = scratch.save(components(edges, scratch, "near"), "found")
 
@@ -340,7 +379,7 @@ def link(docs: DataFrame, scratch: Scratch, k: int = WORDS, percent: int = PERCE
         minor = named.join(largest, "t").where("c <> largest").drop("largest")
         other = named.select("t", *[F.col(c).alias(f"{c}_") for c in ("x", "n", "i", "c")])
         more = minor.join(other, "t").where("c <> c_").where(_bounds(percent)).select(F.least("x", "x_").alias("x"), F.greatest("x", "x_").alias("y")).distinct()
-        more = scratch.save(more.join(pairs, ["x", "y"], "left_anti"), "more")
+        more = scratch.save(alike(more.join(pairs, ["x", "y"], "left_anti"), reps, percent), "more")
         if not more.isEmpty():
             late = verify(more, docs, scratch, k, percent, "late")
             # the first components stand for their edges

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -30,6 +31,9 @@ class Scratch:
     def save(self, df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
         path = f"{self.root}/{name}"
         df.write.mode("overwrite").parquet(path, compression=compression)
+        # shuffle files of finished plans stay on disk until the driver has collected the plans
+        gc.collect()
+        self.spark._jvm.System.gc()
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
