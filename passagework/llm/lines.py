@@ -133,15 +133,16 @@ def report(docs: DataFrame, scratch: Scratch) -> DataFrame:
 
 def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` with the lines that stay; n_chars, where there is one, is that of the new text."""
-    removed = repeated_lines(docs, scratch).groupBy("d", "tag").agg(F.collect_list("line_no").alias("_gone"))
+    removed = repeated_lines(docs, scratch).groupBy("d", "tag").agg(F.collect_list("line_no").alias("gone"))
+    at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.withColumns({"_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "_tag": F.xxhash64(text)})
-    joined = keyed.join(removed.select(F.col("d").alias("_d"), F.col("tag").alias("_tag"), "_gone"), ["_d", "_tag"], "left")
-    joined = joined.withColumn("_lines", F.when(F.col("_gone").isNotNull(), F.split("text", "\n", -1)))
+    keyed = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in at.items()], F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("tag"))
+    joined = keyed.join(removed, ["d", "tag"], "left")
+    joined = joined.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(at["text"], "\n", -1)))
     # array_except hashes the line numbers, so a long text with many repeats takes linear time
-    stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_gone"))
-    kept = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("_lines"), i)), "\n"))
-    out = joined.withColumn("text", kept)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
-    return out.select(*docs.columns)
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    whole = F.col("gone").isNull()
+    out = joined.withColumn(at["text"], F.when(whole, F.col(at["text"])).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")))
+    if "n_chars" in at:
+        out = out.withColumn(at["n_chars"], F.when(whole, F.col(at["n_chars"])).otherwise(F.char_length(at["text"]).cast("long")))
+    return out.select(*[F.col(a).alias(c) for c, a in at.items()])
