@@ -298,7 +298,7 @@ def _(c: Corpus) -> DataFrame:
 @register("pattern_list", "SELECT * FROM (VALUES ('*.key'), ('~$*'), ('venv')) v(pattern)")
 def _(c: Corpus) -> DataFrame:
     given = c.spark.createDataFrame([([" *.key ", "", "~$*", "*.key", "a/b", " ", "venv"],)], "given array<string>")
-    cut = F.array_distinct(F.filter(F.transform("given", F.trim), lambda p: p != ""))
+    cut = F.array_distinct(F.filter(F.transform("given", lambda p: F.trim(p)), lambda p: p != ""))
     return given.select(F.explode(F.filter(cut, lambda p: P.pattern_fault(p).isNull())).alias("pattern"))
 
 
@@ -362,7 +362,7 @@ def _(c: Corpus) -> DataFrame:
 
 # progress
 
-_LOG = "log AS (SELECT event_type AS stage, CAST(epoch(ts) AS BIGINT) AS t, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS done, count(*) OVER (PARTITION BY event_type) AS total FROM events)"
+_LOG = "log AS (SELECT event_type AS stage, CAST(floor(epoch(ts)) AS BIGINT) AS t, event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS done, count(*) OVER (PARTITION BY event_type) AS total FROM events)"
 
 
 def _log(c: Corpus) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import paths as P
 from ..functions.text import strip_controls
@@ -79,7 +80,7 @@ def decode(data: bytes) -> str:
         return data.decode(_legacy(data), "replace")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_text(contents: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for batch in contents:
         yield batch.map(lambda b: None if b is None else decode(bytes(b)))
