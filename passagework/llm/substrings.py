@@ -333,6 +333,8 @@ def maximal_repeats(left: np.ndarray, left_size: np.ndarray, right: np.ndarray,
     """
     order = np.lexsort(right.T[::-1])
     deep = _common(right[order], right_size[order]).tolist()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
     for depth, i, j in intervals(deep, len(order)):
         if i == j or depth + int(left_size.max()) < least:
             continue
@@ -342,7 +344,10 @@ def maximal_repeats(left: np.ndarray, left_size: np.ndarray, right: np.ndarray,
         back = _common(left[rows], left_size[rows]).tolist()
         for more, p, q in intervals(back, len(rows)):
             if p < q and more + depth >= least:
-                yield more, depth, rows[p : q + 1]
+                some = rows[p : q + 1]
+                place = rank[some]
+                if min(deep[place.min() : place.max()]) == depth:  # else all of them have more to the right
+                    yield more, depth, some
 
 
 def _search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
