@@ -3,7 +3,7 @@
 A line's set is its distinct words, lower-cased. A line goes if an earlier line, by doc_id and then line number, has a
 set with a Jaccard similarity of 0.8 or more, whether or not that line goes as well. Lines without words stay.
 
-Words are ordered by rarity: by how many lines hold a word of their hash bucket (``BUCKETS`` counts over all lines, a
+Words are ordered by rarity: by how often words of their hash bucket come (``BUCKETS`` counts over the whole corpus, a
 bounded array in the plan), then by hash. Two similar sets share a word of their prefixes, the rarest n - ceil(0.8 n)
 + 1 words. Lists of lines that share a prefix word are joined under four bounds, all exact: by length, by position, by
 order, and by parity (64 bits, each word flips one; sets that differ in few words differ in few bits). What passes is
@@ -24,10 +24,9 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-SPACES = r"[\x20\x09-\x0D]+"
 BUCKETS = 1 << 16
 #: Prefix words of a class that look for a first line in the first step.
-FIRST_WORDS = 4
+FIRST_WORDS = 2
 #: Classes to verify are broadcast up to so many (8 bytes each), else joined by a shuffle.
 BROADCAST_CLASSES = 1_000_000
 LAST = (1 << 63) - 1
@@ -38,17 +37,17 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("tag"), text.alias("text"))
 
 
-def _line_words(docs: DataFrame) -> DataFrame:
-    """d, tag, line_no and the hashes of the distinct words of every line with a word."""
-    rows = _keyed(docs).select("d", "tag", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    words = F.array_distinct(F.array_remove(F.split(F.lower("line"), SPACES, -1), ""))
-    return rows.select("d", "tag", "line_no", words.alias("words")).where(F.size("words") > 0)
+def _split(text: Column) -> Column:
+    """Words between single spaces, empty ones too; other white space is made one first, where there is any."""
+    plain = F.when(text.rlike(r"[\x09-\x0D]"), F.regexp_replace(text, r"[\x09-\x0D]", " ")).otherwise(text)
+    return F.split(F.lower(plain), " ", -1)
 
 
 def rarity(docs: DataFrame) -> Column:
-    """An array: place of each hash bucket in the order of how many lines hold its words."""
-    bucket = F.explode(F.transform(F.col("words"), lambda w: F.xxhash64(w).bitwiseAND(BUCKETS - 1).cast("int")))
-    counts = _line_words(docs).select(bucket.alias("b")).groupBy("b").count().collect()  # BUCKETS rows at most
+    """An array: place of each hash bucket in the order of how often its words come in the corpus."""
+    bucket = F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")
+    given = docs.select(F.explode(_split(F.col("text").cast("string"))).alias("w")).where("w <> ''")
+    counts = given.select(bucket).groupBy("b").count().collect()  # BUCKETS rows at most
     n = [0] * BUCKETS
     for row in counts:
         n[row["b"]] = row["count"]
@@ -58,14 +57,19 @@ def rarity(docs: DataFrame) -> Column:
     return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
 
 
-def line_sets(docs: DataFrame, rank: Column) -> DataFrame:
-    """d, tag, line_no, codes (the words in their order, as sorted numbers), n, and the class's key k1, k2."""
+def line_sets(docs: DataFrame, rank: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """d, tag, line_no, codes (the distinct words in their order, as sorted numbers), n, and the class's key k1, k2 of
+    every line with a word; with ``wanted``, of its lines (d, tag, line_no) only."""
 
     def code(w: Column) -> Column:
         h = F.xxhash64(w)
         return F.call_function("shiftleft", F.get(rank, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(47)).bitwiseOR(F.shiftrightunsigned(h, 17))
 
-    rows = _line_words(docs).select("d", "tag", "line_no", F.sort_array(F.transform("words", code)).alias("codes"))
+    rows = _keyed(docs).select("d", "tag", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    if wanted is not None:
+        rows = rows.join(wanted, ["d", "tag", "line_no"], "left_semi")
+    codes = F.sort_array(F.array_distinct(F.array_remove(F.transform(_split(F.col("line")), code), code(F.lit("")))))
+    rows = rows.select("d", "tag", "line_no", codes.alias("codes")).where(F.size("codes") > 0)
     return rows.withColumns({"n": F.size("codes"), "k1": F.xxhash64("codes"), "k2": F.xxhash64(F.lit(1), "codes")})
 
 
@@ -74,19 +78,20 @@ def _bounds() -> str:
     return "5 * least(n, n_) >= 4 * greatest(n, n_) and 9 * least(n - i, n_ - i_) >= 4 * (n + n_) and bit_count(parity ^ parity_) * 9 <= n + n_"
 
 
-def _entries(classes: DataFrame, words: int | None = None) -> DataFrame:
+def _entries(classes: DataFrame, words: int | None = None, extra: list[str] | None = None) -> DataFrame:
     prefix = F.slice("prefix", 1, words) if words else F.col("prefix")
     # sets of three words or fewer are similar to none but their equals
-    return classes.where("n >= 4").select(F.posexplode(prefix).alias("i", "code"), F.col("k1").alias("x"), "n", "parity", F.col("first.d").alias("d"))
+    return classes.where("n >= 4").select(F.posexplode(prefix).alias("i", "code"), F.col("k1").alias("x"), "n", "parity", F.col("first.d").alias("d"), *(extra or [])).select("code", "i", "x", "n", "parity", "d", *(extra or []))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rank: Column, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """k1, k2 of the classes x that are similar to an earlier class y. ``pairs`` is a written table."""
-    ids = scratch.save(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "k1"), f"{name}_ids")
-    small = ids.count() <= BROADCAST_CLASSES
-    sets = line_sets(docs, rank).join(F.broadcast(ids) if small else ids, "k1", "left_semi").select("k1", "k2", "codes").dropDuplicates(["k1", "k2"])
-    sets = sets.join(classes.select("k1", "k2", "first"), ["k1", "k2"])
-    sets = scratch.save(sets, f"{name}_sets")
+    ids = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "k1")
+    named = scratch.save(classes.select("k1", "k2", "first").join(ids, "k1", "left_semi"), f"{name}_ids")
+    places = named.select("first.*")
+    small = named.count() <= BROADCAST_CLASSES
+    sets = line_sets(docs, rank, F.broadcast(places) if small else places).select("k1", "k2", "codes").dropDuplicates(["k1", "k2"])
+    sets = scratch.save(sets.join(named, ["k1", "k2"]), f"{name}_sets")
     x = sets.select(F.col("k1").alias("x"), "k2", "codes", "first")
     y = sets.select(F.col("k1").alias("y"), F.col("codes").alias("codes_"), F.col("first").alias("first_"))
     both = pairs.join(x, "x").join(y, "y").where("first_ < first")
@@ -104,22 +109,27 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = scratch.save(line_sets(docs, rank).select("d", "tag", "line_no", "k1", "k2", "n", parity.alias("parity"), prefix.alias("prefix")), "line_rows")
     classes = rows.groupBy("k1", "k2").agg(F.min(F.struct("d", "tag", "line_no")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     classes = scratch.save(classes, "classes")
+    rows = scratch.save(rows.select("d", "tag", "line_no", "k1", "k2"), "line_keys")
+    scratch.drop("line_rows")
 
     entries = _entries(classes, FIRST_WORDS)
     earliest = entries.groupBy("code").agg(F.count("*").alias("c"), *[F.min_by(c, "d").alias(o) for c, o in (("x", "y"), ("n", "n_"), ("i", "i_"), ("parity", "parity_"))]).where("c > 1").drop("c")
     pairs = scratch.save(entries.join(earliest, "code").where("x <> y").where(_bounds()).select("x", "y").distinct(), "star")
     gone = _verified(pairs, docs, rank, classes, scratch, "gone")
 
-    left = classes.join(gone, ["k1", "k2"], "left_anti")
-    other = _entries(classes).select("code", *[F.col(c).alias(o) for c, o in (("x", "y"), ("n", "n_"), ("i", "i_"), ("parity", "parity_"), ("d", "d_"))])
-    more = _entries(left).join(other, "code").where("x <> y and d_ <= d").where(_bounds()).select("x", "y").distinct()
+    # both sides of the last join are the same table, so that it is shuffled once; whether x is left is a condition of
+    # both sides, lest it be pushed below one of them
+    open_ = classes.join(gone.withColumn("g", F.lit(1)), ["k1", "k2"], "left").withColumn("u", F.when(F.col("g").isNull(), 1).otherwise(0))
+    x = _entries(open_, extra=["u"])
+    y = _entries(open_, extra=["u"]).select("code", *[F.col(c).alias(f"{c}_" if c != "x" else "y") for c in ("i", "x", "n", "parity", "d", "u")])
+    more = x.join(y, "code").where("greatest(u * 2, u_) >= 2 and x <> y and d_ <= d").where(_bounds()).select("x", "y").distinct()
     more = scratch.save(more, "rest")
     gone = gone.union(_verified(more, docs, rank, classes, scratch, "gone_late"))
     heads = classes.select("k1", "k2", "first").join(gone.withColumn("gone", F.lit(True)), ["k1", "k2"], "left")
     judged = rows.select("d", "tag", "line_no", "k1", "k2").join(heads, ["k1", "k2"])
     out = judged.where(F.col("gone") | (F.struct("d", "tag", "line_no") != F.col("first"))).select("d", "tag", "line_no").distinct()
     out = scratch.save(out, "removed")
-    scratch.drop("line_rows", "classes", "star", "rest", "gone", "gone_late")
+    scratch.drop("line_keys", "classes", "star", "rest", "gone", "gone_late")
     return out
 
 
