@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import trimmed, words
@@ -23,7 +23,8 @@ def squared_distance(a: Column, b: Column) -> Column:
 def unit(v: Column) -> Column:
     """Divided by its length; a zero vector stays."""
     length = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-    return F.when(length == 0, v).otherwise(F.transform(v, lambda x: x / length))
+    # the length is a field, so that it is computed once and not for each element
+    return F.transform(F.array(F.struct(v.alias("v"), length.alias("n"))), lambda s: F.when(s["n"] == 0, s["v"]).otherwise(F.transform(s["v"], lambda x: x / s["n"])))[0]
 
 
 def mean_pool(rows: Column) -> Column:
@@ -31,10 +32,15 @@ def mean_pool(rows: Column) -> Column:
     return F.transform(F.element_at(rows, 1), lambda _, i: F.aggregate(rows, F.lit(0.0), lambda s, r: s + F.get(r, i)) / F.size(rows))
 
 
-def word_vector(text: Column, dims: int = 64) -> Column:
-    """A stand-in for a model: counts of the words' digests by bucket, of unit length; without words the first axis."""
+def with_word_vector(rows: DataFrame, text: Column, name: str = "embedding", dims: int = 64) -> DataFrame:
+    """``rows`` with a stand-in for a model's vector: counts of the words' digests by bucket, of unit length; without
+    words the first axis. The buckets are a column of their own, so that each word is digested once."""
+    keep = rows.columns
     found = F.filter(F.transform(words(text), lambda w: trimmed(F.lower(w))), lambda w: w != "")
-    buckets = F.transform(found, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims)
-    counts = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double"))
-    axis = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.when(b == 0, 1.0).otherwise(0.0))
-    return F.when(F.size(found) == 0, axis).otherwise(unit(counts))
+    buckets = F.sort_array(F.transform(found, lambda w: F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("long") % dims))
+    given = rows.withColumn("_b", buckets)
+    axes = F.sequence(F.lit(0), F.lit(dims - 1))
+    counts = F.transform(axes, lambda b: F.size(F.filter("_b", lambda x: x == b)).cast("double"))
+    first = F.transform(axes, lambda b: F.when(b == 0, 1.0).otherwise(0.0))
+    given = given.select(*keep, F.when(F.size("_b") == 0, first).otherwise(counts).alias("_v"))
+    return given.select(*keep, unit(F.col("_v")).alias(name))

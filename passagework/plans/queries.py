@@ -318,7 +318,7 @@ def _(c: Corpus) -> DataFrame:
 
 @register("word_model_md5", with_(B.passages() + "," + B.WORDS + "," + B.VECTORS, "SELECT hash, ordinal, CAST(i AS BIGINT) AS axis, round(v[i + 1], 6) AS x FROM (SELECT hash, ordinal, v, unnest(range(0, 64)) AS i FROM pv) WHERE v[i + 1] <> 0"))
 def _(c: Corpus) -> DataFrame:
-    return S.passage_vectors(c).select(*KEY, F.posexplode("embedding").alias("axis", "x")).where("x <> 0").select(*KEY, F.col("axis").cast("long").alias("axis"), F.round("x", 6).alias("x"))
+    return S.passage_vectors(c).select(*KEY, F.posexplode_outer("embedding").alias("axis", "x")).where("x <> 0").select(*KEY, F.col("axis").cast("long").alias("axis"), F.round("x", 6).alias("x"))
 
 
 @register("passages_without_vectors", with_(B.passages(), "SELECT hash, ordinal FROM passages WHERE ordinal % 3 = 1"))

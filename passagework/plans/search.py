@@ -13,12 +13,12 @@ from ..sources.corpus import KEY, Corpus
 
 
 def passage_vectors(corpus: Corpus) -> DataFrame:
-    return corpus.passages.select(*KEY, V.word_vector(F.col("text")).alias("embedding"))
+    return V.with_word_vector(corpus.passages.select(*KEY, "text"), F.col("text")).drop("text")
 
 
 def query_vectors(queries: DataFrame) -> DataFrame:
     """Quotes ask for exact words; the meaning is in the words."""
-    return queries.select("query_id", V.word_vector(F.translate("query", '"“”', "")).alias("embedding"))
+    return V.with_word_vector(queries.select("query_id", "query"), F.translate("query", '"“”', "")).drop("query")
 
 
 def keyword_hits(corpus: Corpus, queries: DataFrame, limit: int) -> DataFrame:
