@@ -66,10 +66,12 @@ def line_sets(docs: DataFrame, rank: Column, wanted: DataFrame | None = None) ->
         return F.call_function("shiftleft", F.get(rank, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(47)).bitwiseOR(F.shiftrightunsigned(h, 17))
 
     rows = _keyed(docs).select("d", "tag", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    # a condition on codes would be pushed below and make them twice, and for lines that nobody wants
+    rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     if wanted is not None:
         rows = rows.join(wanted, ["d", "tag", "line_no"], "left_semi")
     codes = F.sort_array(F.array_distinct(F.array_remove(F.transform(_split(F.col("line")), code), code(F.lit("")))))
-    rows = rows.select("d", "tag", "line_no", codes.alias("codes")).where(F.size("codes") > 0)
+    rows = rows.select("d", "tag", "line_no", codes.alias("codes"))
     return rows.withColumns({"n": F.size("codes"), "k1": F.xxhash64("codes"), "k2": F.xxhash64(F.lit(1), "codes")})
 
 
