@@ -19,6 +19,8 @@ are judged as one. Extra columns are kept where whole documents are returned. An
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,6 +31,8 @@ BUCKETS = 1 << 16
 FIRST_WORDS = 2
 #: Classes to verify are broadcast up to so many (8 bytes each), else joined by a shuffle.
 BROADCAST_CLASSES = 1_000_000
+#: Parts of the last join's words, one after the other; each shuffles its share of the entries.
+TURNS = 4
 LAST = (1 << 63) - 1
 
 
@@ -80,10 +84,10 @@ def _bounds() -> str:
     return "5 * least(n, n_) >= 4 * greatest(n, n_) and 9 * least(n - i, n_ - i_) >= 4 * (n + n_) and bit_count(parity ^ parity_) * 9 <= n + n_"
 
 
-def _entries(classes: DataFrame, words: int | None = None, extra: list[str] | None = None) -> DataFrame:
+def _entries(classes: DataFrame, words: int | None = None) -> DataFrame:
     prefix = F.slice("prefix", 1, words) if words else F.col("prefix")
     # sets of three words or fewer are similar to none but their equals
-    return classes.where("n >= 4").select(F.posexplode(prefix).alias("i", "code"), F.col("k1").alias("x"), "n", "parity", F.col("first.d").alias("d"), *(extra or [])).select("code", "i", "x", "n", "parity", "d", *(extra or []))
+    return classes.where("n >= 4").select(F.posexplode(prefix).alias("i", "code"), F.col("k1").alias("x"), "n", "parity", F.col("first.d").alias("d"))
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, rank: Column, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
@@ -119,13 +123,18 @@ def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     pairs = scratch.save(entries.join(earliest, "code").where("x <> y").where(_bounds()).select("x", "y").distinct(), "star")
     gone = _verified(pairs, docs, rank, classes, scratch, "gone")
 
-    # both sides of the last join are the same table, so that it is shuffled once; whether x is left is a condition of
-    # both sides, lest it be pushed below one of them
-    open_ = classes.join(gone.withColumn("g", F.lit(1)), ["k1", "k2"], "left").withColumn("u", F.when(F.col("g").isNull(), 1).otherwise(0))
-    x = _entries(open_, extra=["u"])
-    y = _entries(open_, extra=["u"]).select("code", *[F.col(c).alias(f"{c}_" if c != "x" else "y") for c in ("i", "x", "n", "parity", "d", "u")])
-    more = x.join(y, "code").where("greatest(u * 2, u_) >= 2 and x <> y and d_ <= d").where(_bounds()).select("x", "y").distinct()
+    # the words are joined in turns, by their hash, so that only a part of the entries is shuffled at a time
+    found = gone.select("k1", "k2")
+    open_ = classes.join(F.broadcast(found) if found.count() <= BROADCAST_CLASSES else found, ["k1", "k2"], "left_anti")
+    turns = []
+    for turn in range(TURNS):
+        mine = F.pmod(F.col("code"), F.lit(TURNS)) == turn
+        x = _entries(open_).where(mine)
+        y = _entries(classes).where(mine).select("code", *[F.col(c).alias(f"{c}_" if c != "x" else "y") for c in ("i", "x", "n", "parity", "d")])
+        turns.append(scratch.save(x.join(y, "code").where("x <> y and d_ <= d").where(_bounds()).select("x", "y").distinct(), f"turn{turn}"))
+    more = reduce(DataFrame.union, turns).distinct()
     more = scratch.save(more, "rest")
+    scratch.drop(*(f"turn{turn}" for turn in range(TURNS)))
     gone = gone.union(_verified(more, docs, rank, classes, scratch, "gone_late"))
     heads = classes.select("k1", "k2", "first").join(gone.withColumn("gone", F.lit(True)), ["k1", "k2"], "left")
     judged = rows.select("d", "tag", "line_no", "k1", "k2").join(heads, ["k1", "k2"])
