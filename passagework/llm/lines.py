@@ -81,14 +81,10 @@ def line_sets(docs: DataFrame, rank: Column, wanted: DataFrame | None = None) ->
     return rows.withColumns({"n": F.size("codes"), "k1": F.xxhash64("codes"), "k2": F.xxhash64(F.lit(1), "codes")})
 
 
-def _parity(lane: int | None = None) -> Column:
-    """64 bits, of which each word flips one; with ``lane``, each word of that lane (of ``LANES``)."""
-
-    def flip(x: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))
-        return bit if lane is None else F.when(F.shiftright(x, 6).bitwiseAND(LANES - 1) == lane, bit).otherwise(F.lit(0).cast("long"))
-
-    return F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(flip(x)))
+def _flip(code: Column, lane: int | None = None) -> Column:
+    """The bit of 64 that a word flips; with ``lane``, that of a word of this lane (of ``LANES``), else none."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), code.bitwiseAND(63).cast("int"))
+    return bit if lane is None else F.when(F.shiftright(code, 6).bitwiseAND(LANES - 1) == lane, bit).otherwise(F.lit(0).cast("long"))
 
 
 def _bounds() -> str:
@@ -111,7 +107,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, rank: Column, classes: DataFram
     sets = line_sets(docs, rank, F.broadcast(places) if small else places).select("k1", "k2", "codes").dropDuplicates(["k1", "k2"])
     sets = scratch.save(sets.join(named, ["k1", "k2"]), f"{name}_sets")
     # longer parities first, so that whole sets are shuffled only for pairs that are most likely similar
-    light = sets.select("k1", "first", F.size("codes").alias("n"), *[_parity(lane).alias(f"p{lane}") for lane in range(LANES)])
+    bits = sets.select("k1", "first", F.size("codes").alias("n"), F.explode("codes").alias("code"))
+    light = bits.groupBy("k1", "first", "n").agg(*[F.bit_xor(_flip(F.col("code"), lane)).alias(f"p{lane}") for lane in range(LANES)])
+    light = scratch.save(light, f"{name}_light")
     light_ = light.select(*[F.col(c).alias(f"{c}_") for c in light.columns])
     differ = reduce(Column.__add__, [F.bit_count(F.col(f"p{lane}").bitwiseXOR(F.col(f"p{lane}_"))) for lane in range(LANES)])
     close = pairs.join(light, F.col("x") == F.col("k1")).join(light_, F.col("y") == F.col("k1_")).where("first_ < first").where(differ * 9 <= F.col("n") + F.col("n_"))
@@ -121,15 +119,16 @@ def _verified(pairs: DataFrame, docs: DataFrame, rank: Column, classes: DataFram
     both = close.join(x, "x").join(y, "y").where("first_ < first")
     found = both.where("9 * size(array_intersect(codes, codes_)) >= 4 * (size(codes) + size(codes_))")
     out = scratch.save(found.select(F.col("x").alias("k1"), "k2").distinct(), name)
-    scratch.drop(f"{name}_ids", f"{name}_sets", f"{name}_close")
+    scratch.drop(f"{name}_ids", f"{name}_sets", f"{name}_light", f"{name}_close")
     return out
 
 
 def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """d, tag and line_no of every line that goes (d is doc_id, or LAST where that is null)."""
     rank = rarity(docs)
+    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_flip(x)))
     prefix = F.slice("codes", 1, F.col("n") - F.floor((F.col("n") * 4 + 4) / 5).cast("int") + 1)
-    rows = scratch.save(line_sets(docs, rank).select("d", "tag", "line_no", "k1", "k2", "n", _parity().alias("parity"), prefix.alias("prefix")), "line_rows")
+    rows = scratch.save(line_sets(docs, rank).select("d", "tag", "line_no", "k1", "k2", "n", parity.alias("parity"), prefix.alias("prefix")), "line_rows")
     classes = rows.groupBy("k1", "k2").agg(F.min(F.struct("d", "tag", "line_no")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
     classes = scratch.save(classes, "classes")
     rows = scratch.save(rows.select("d", "tag", "line_no", "k1", "k2"), "line_keys")
