@@ -52,7 +52,8 @@ def _split(text: Column) -> Column:
 def rarity(docs: DataFrame) -> Column:
     """An array: place of each hash bucket in the order of how often its words come in the corpus."""
     bucket = F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")
-    given = docs.select(F.explode(_split(F.col("text").cast("string"))).alias("w")).where("w <> ''")
+    # a whole text has line ends, so it is split at every white space at once
+    given = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[\x20\x09-\x0D]", -1)).alias("w")).where("w <> ''")
     counts = given.select(bucket).groupBy("b").count().collect()  # BUCKETS rows at most
     n = [0] * BUCKETS
     for row in counts:
