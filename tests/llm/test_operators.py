@@ -94,6 +94,35 @@ def test_repeated_passages(spark, scratch):
     assert chains.repeated_passages(empty(spark), Scratch(spark)).count() == 0
 
 
+def bare(text):
+    return re.findall(r"[^\x00-\x2f:-@\[-`{-\x7f]+", text.lower())
+
+
+def test_every_repeat_of_fifty_words_is_in_a_passage(spark, scratch):
+    import random
+
+    r = random.Random(12)
+    pool = [prose(600 + i, 40) for i in range(8)]
+    rows = [(1, prose(620, 70) + " " + pool[0]), (2, prose(621, 70) + " " + pool[1])]
+    rows += [(i, " ".join([prose(630 + i, 30), pool[0], pool[1], prose(640 + i, 30)])) for i in (6, 7)]
+    # the source holds the start of the repeat once more before it
+    rows += [(8, " ".join([pool[2][:150], prose(650, 60), pool[2], pool[3]])), (9, " ".join([prose(651, 40), pool[2], pool[3]]))]
+    rows += [(20 + i, " ".join(x for _ in range(3) for x in (prose(700 + 3 * i + _, r.randint(1, 30)), *r.sample(pool, r.randint(1, 3))))) for i in range(40)]
+    got = defaultdict(list)
+    for x in chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), scratch).collect():
+        assert x.source_doc_id < x.doc_id and x.matches >= 0.8 * max(x.end_word - x.begin_word, x.source_end_word - x.source_begin_word)
+        got[x.doc_id].append(x)
+    first, wanted = {}, 0
+    for i, t in sorted(rows):
+        w = bare(t)
+        for p in range(len(w) - 49):
+            if first.setdefault(tuple(w[p : p + 50]), i) < i:
+                wanted += 1
+                assert any(x.begin_word <= p and p + 50 <= x.end_word for x in got[i]), (i, p)
+    assert wanted > 500
+    assert any(x.source_doc_id == 6 and x.end_word - x.begin_word >= 80 for x in got[7])
+
+
 # 3
 
 
