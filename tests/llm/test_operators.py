@@ -123,6 +123,30 @@ def test_every_repeat_of_fifty_words_is_in_a_passage(spark, scratch):
     assert any(x.source_doc_id == 6 and x.end_word - x.begin_word >= 80 for x in got[7])
 
 
+def test_near_passages_are_found(spark, scratch):
+    import random
+
+    r, rows, wanted = random.Random(13), [], {}
+
+    def own(n):
+        return [f"p{r.randrange(10**9)}" for _ in range(n)]
+
+    for n in (50, 60, 80, 120):
+        cases = [range(e - 1, n, e) for e in (5, 6, 7, 10, 20)] + [r.sample(range(n), n * percent // 100) for percent in (5, 10, 15, 20)]
+        for changed in cases * 3:
+            words_ = [f"v{r.randrange(3000)}" for _ in range(n)]
+            copy = [f"z{r.randrange(10**9)}" if j in changed else w for j, w in enumerate(words_)]
+            i = len(rows)
+            rows += [(i, " ".join(own(40) + words_ + own(40))), (i + 1, " ".join(own(40) + copy + own(40)))]
+            wanted[i + 1] = n - len(changed)
+    got = {}
+    for x in chains.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), scratch).collect():
+        if x.source_doc_id == x.doc_id - 1:
+            got[x.doc_id] = max(got.get(x.doc_id, 0), x.matches)
+    assert set(got) == set(wanted)
+    assert all(got[i] >= 0.8 * wanted[i] for i in wanted)
+
+
 # 3
 
 
