@@ -32,6 +32,12 @@ def mean_pool(rows: Column) -> Column:
     return F.transform(F.element_at(rows, 1), lambda _, i: F.aggregate(rows, F.lit(0.0), lambda s, r: s + F.get(r, i)) / F.size(rows))
 
 
+def mean_of_groups(rows: DataFrame, key: str, vector: str, dims: int) -> DataFrame:
+    """(key, n, vector) with the average of each group's vectors, of which each partition sends sums by axis only."""
+    means = F.array(*[F.avg(F.element_at(doubles(F.col(vector)), i + 1)) for i in range(dims)])
+    return rows.groupBy(key).agg(F.count("*").alias("n"), means.alias(vector))
+
+
 def with_word_vector(rows: DataFrame, text: Column, name: str = "embedding", dims: int = 64) -> DataFrame:
     """``rows`` with a stand-in for a model's vector: counts of the words' digests by bucket, of unit length; without
     words the first axis. The buckets are a column of their own, so that each word is digested once."""

@@ -309,6 +309,12 @@ def _(c: Corpus) -> DataFrame:
     return pooled.select("label", "n", F.round(F.element_at("v", 1), 6).alias("x1"), F.round(F.element_at("v", 64), 6).alias("x64"))
 
 
+@register("mean_pool_whole", "SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS x1, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS x64 FROM embeddings GROUP BY label")
+def _(c: Corpus) -> DataFrame:
+    pooled = V.mean_of_groups(c.table("embeddings"), "label", "embedding", 64)
+    return pooled.select("label", "n", F.round(F.element_at("embedding", 1), 6).alias("x1"), F.round(F.element_at("embedding", 64), 6).alias("x64"))
+
+
 @register("dot_product", "SELECT a.vec_id, round(list_dot_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS dot FROM embeddings a JOIN (SELECT * FROM embeddings WHERE vec_id = 0) b ON true")
 def _(c: Corpus) -> DataFrame:
     e = c.table("embeddings")

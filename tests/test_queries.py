@@ -41,3 +41,13 @@ def test_query_equals_its_sql(spark, duck, name):
 def test_every_query_has_a_name_of_its_own():
     plans, sql = queries.load()
     assert set(sql) <= set(plans) and len(plans) > 90
+
+
+@pytest.mark.parametrize("name", ["mean_pool_whole"])
+def test_whole_tables_equal_their_sql(spark, duck, name):
+    test_query_equals_its_sql(spark, duck, name)
+
+
+def test_mean_pool_reads_every_row(spark):
+    got = queries.load()[0]["mean_pool_whole"](spark, DATA).collect()
+    assert sum(r.n for r in got) == spark.read.parquet(f"{DATA}/embeddings.parquet").count() > 200
