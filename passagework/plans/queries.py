@@ -120,6 +120,12 @@ def _(c: Corpus) -> DataFrame:
     return c.table("documents").select("doc_id", X.strip_controls(raw).alias("text"))
 
 
+@register("strip_controls_whole", r"SELECT doc_id, regexp_replace(chr(1) || text || chr(9) || chr(127) || 'x' || chr(133), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g') AS text FROM documents")
+def _(c: Corpus) -> DataFrame:
+    raw = F.concat(F.lit("\u0001"), F.col("text"), F.lit("\t\u007fx\u0085"))
+    return c.table("documents").select("doc_id", X.strip_controls(raw).alias("text"))
+
+
 # 2. passages
 
 
@@ -469,6 +475,20 @@ def _(c: Corpus) -> DataFrame:
     return c.table("documents").select("doc_id", F.posexplode(results.spans(marked)).alias("no", "s")).select("doc_id", F.col("no").cast("long").alias("no"), "s.text", "s.marked")
 
 
+@register(
+    "spans_whole",
+    r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{Co}]+|[^\p{L}\p{N}\p{Co}]+') AS ps FROM documents),
+e AS (SELECT doc_id, unnest(range(0, len(ps))) AS i, unnest(ps) AS t FROM p),
+m AS (SELECT doc_id, i, t, list_contains(['the', 'und', 'de', 'that', 'ete'], lower(strip_accents(t))) AS marked FROM e),
+g AS (SELECT *, sum(CASE WHEN marked THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
+s AS (SELECT doc_id, k, marked, min(i) AS i, string_agg(t, '' ORDER BY i) AS text FROM g GROUP BY doc_id, k, marked)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS no, text, marked FROM s""",
+)
+def _(c: Corpus) -> DataFrame:
+    marked = keyword.highlight(F.col("text"), F.array(*map(F.lit, _TERMS)))
+    return c.table("documents").select("doc_id", F.posexplode(results.spans(marked)).alias("no", "s")).select("doc_id", F.col("no").cast("long").alias("no"), "s.text", "s.marked")
+
+
 @register("name_and_folder", with_(B.FILES, r"SELECT path, regexp_extract(path, '([^/]*)$', 1) AS name, regexp_replace(path, '/[^/]*$', '') AS folder FROM docs"))
 def _(c: Corpus) -> DataFrame:
     return c.listing.select("path", results.shown_name(F.col("path")).alias("name"), results.shown_folder(F.col("path")).alias("folder"))
