@@ -183,33 +183,64 @@ def _(c: Corpus) -> DataFrame:
 
 # evaluation
 
-_RELEVANT = "relevant AS (SELECT b.item_id AS query_id, d.hash, d.lang FROM benchmark b JOIN docs d ON contains(d.text, b.text) WHERE doc_id % 8 <> 7)"
+_RELEVANT = B.passage_lines() + """,
+answers AS (
+  SELECT DISTINCT b.item_id AS query_id, d.hash, len(string_split(left(d.text, instr(d.text, b.text) - 1), chr(10))) AS line,
+         array_to_string(list_filter(string_split_regex(b.text, '\\s+'), lambda x: x <> '')[1:3], ' ') AS answer
+  FROM benchmark b JOIN docs d ON contains(d.text, b.text) WHERE doc_id % 8 <> 7),
+relevant AS (
+  SELECT a.query_id, p.hash, p.ordinal FROM answers a JOIN passages p ON p.hash = a.hash JOIN plines l ON l.hash = p.hash AND l.ordinal = p.ordinal
+  WHERE a.line BETWEEN start_line AND end_line AND contains(p.text, answer)),
+asked AS (SELECT DISTINCT b.item_id AS query_id, d.lang FROM benchmark b JOIN docs d ON contains(d.text, b.text) WHERE doc_id % 8 <> 7),
+totals AS (SELECT item_id AS query_id, count(hash) AS total FROM benchmark LEFT JOIN relevant ON query_id = item_id GROUP BY item_id)"""
+
+
+def _holding(c: Corpus) -> DataFrame:
+    """query_id, hash, lang, line and answer of the documents that hold a query's item. Three inner words of an item
+    are whole words of such a document, so they find it; items of fewer than five words are held against all."""
+    items = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")).withColumn("w", X.words(F.col("item")))
+    items = items.withColumn("answer", F.array_join(F.slice("w", 1, 3), " ")).withColumn("k", F.when(F.size("w") >= 5, F.xxhash64(*[F.get("w", F.lit(i)) for i in (1, 2, 3)])))
+    docs = c.documents.where(P.kind(F.col("path")).isNotNull()).select("doc_id", "hash", "lang", "text")
+    # three words running, as a window over the exploded words would need a shuffle
+    spread = docs.select("doc_id", X.words(F.col("text")).alias("w")).where("size(w) >= 5")
+    keys = spread.select("doc_id", F.explode(F.expr("transform(sequence(0, size(w) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)))")).alias("k"))
+    found = keys.join(items.where("k is not null").select("k", "query_id"), "k").select("doc_id", "query_id").distinct()
+    long = found.join(items.drop("k", "w"), "query_id").join(docs, "doc_id")
+    short = docs.join(items.where("k is null").drop("k", "w"), F.expr("contains(text, item)"))
+    both = long.where(F.contains("text", "item")).unionByName(short.select(long.columns))
+    line = F.size(F.split(F.substring("text", F.lit(1), F.instr("text", F.col("item")) - 1), "\n", -1)).cast("long")
+    return both.select("query_id", "hash", "lang", line.alias("line"), "answer")
 
 
 def _relevant(c: Corpus) -> DataFrame:
-    items = c.table("benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    # the items are a stated set; each document is held against all of them
-    docs = c.documents.where(P.kind(F.col("path")).isNotNull())
-    return docs.join(F.broadcast(items), F.expr("contains(text, item)")).select("query_id", "hash", "lang")
+    """query_id, hash and ordinal of the passages that cover the line of an item and hold its answer."""
+    held = _holding(c).select("query_id", "hash", "line", "answer").distinct()
+    p = c.passages.select(*KEY, "start_line", "end_line", F.col("text").alias("passage"))
+    covers = F.col("line").between(F.col("start_line"), F.col("end_line")) & F.contains("passage", "answer")
+    return p.join(held, "hash").where(covers).select("query_id", *KEY)
 
 
-@register("relevance_total", with_(B.FILES + "," + _RELEVANT, "SELECT item_id AS query_id, count(DISTINCT hash) AS total FROM benchmark LEFT JOIN relevant ON query_id = item_id GROUP BY item_id"))
+@register("relevant_passages", with_(B.passages() + "," + _RELEVANT, "SELECT query_id, hash, ordinal FROM relevant"))
+def _(c: Corpus) -> DataFrame:
+    return _relevant(c)
+
+
+@register("relevance_total", with_(B.passages() + "," + _RELEVANT, "SELECT query_id, total FROM totals"))
 def _(c: Corpus) -> DataFrame:
     return _totals(c)
 
 
 def _totals(c: Corpus) -> DataFrame:
-    return c.table("benchmark").select(F.col("item_id").alias("query_id")).join(_relevant(c), "query_id", "left").groupBy("query_id").agg(F.count_distinct("hash").alias("total"))
+    return c.table("benchmark").select(F.col("item_id").alias("query_id")).join(_relevant(c), "query_id", "left").groupBy("query_id").agg(F.count("hash").alias("total"))
 
 
 def _scores(c: Corpus) -> DataFrame:
     hits = S.keyword_hits(c, c.queries_words, 10)
-    return metrics.scores(metrics.judged(hits, _relevant(c), ["hash"]), _totals(c))
+    return metrics.scores(metrics.judged(hits, _relevant(c), KEY), _totals(c))
 
 
 _SCORES = B.INDEX + "," + B.WORDS + "," + B.PARSE + "," + B.UNCOMMON + "," + B.matches() + "," + B.bm25() + "," + B.hits(10) + "," + _RELEVANT + """,
-totals AS (SELECT item_id AS query_id, count(DISTINCT hash) AS total FROM benchmark LEFT JOIN relevant ON query_id = item_id GROUP BY item_id),
-judged AS (SELECT k.query_id, k.rank, EXISTS (SELECT 1 FROM relevant r WHERE r.query_id = k.query_id AND r.hash = k.hash) AS relevant FROM kw k),
+judged AS (SELECT k.query_id, k.rank, EXISTS (SELECT 1 FROM relevant r WHERE r.query_id = k.query_id AND r.hash = k.hash AND r.ordinal = k.ordinal) AS relevant FROM kw k),
 per AS (SELECT query_id, max(CASE WHEN relevant THEN 1.0 ELSE 0.0 END) AS recall, min(CASE WHEN relevant THEN rank END) AS first, sum(CASE WHEN relevant THEN 1.0 / log2(rank + 1.0) ELSE 0.0 END) AS dcg FROM judged GROUP BY query_id),
 sc AS (
   SELECT t.query_id, coalesce(CAST(recall AS DOUBLE), 0.0) AS recall, round(coalesce(1.0 / CAST(first AS DOUBLE), 0.0), 6) AS mrr,
@@ -225,12 +256,12 @@ for _metric, _column in (("recall_at_10", "recall"), ("mrr_at_10", "mrr"), ("ndc
 
 _GROUPED = _SCORES + """,
 lg AS (SELECT query_id, list_distinct(list_concat(['all', 'kind:descriptive'], coalesce(list('language:' || lang) FILTER (lang IS NOT NULL), []), CASE WHEN count(lang) > 0 THEN ['script:latin'] ELSE [] END)) AS gs
-  FROM totals LEFT JOIN relevant USING (query_id) GROUP BY query_id),
+  FROM totals LEFT JOIN asked USING (query_id) GROUP BY query_id),
 grouped AS (SELECT g AS "group", count(*) AS queries, round(avg(recall), 6) AS recall, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg FROM (SELECT query_id, unnest(gs) AS g FROM lg) JOIN sc USING (query_id) GROUP BY g)"""
 
 
 def _grouped(c: Corpus) -> DataFrame:
-    langs = _relevant(c).groupBy("query_id").agg(F.collect_set("lang").alias("langs"))
+    langs = _holding(c).groupBy("query_id").agg(F.collect_set("lang").alias("langs"))
     scored = _scores(c).join(langs, "query_id", "left")
     has = F.col("langs").isNotNull()
     labels = F.concat(F.array(F.lit("all"), F.lit("kind:descriptive")), F.when(has, F.transform("langs", lambda x: F.concat(F.lit("language:"), x))).otherwise(F.array().cast("array<string>")), F.when(has, F.array(F.lit("script:latin"))).otherwise(F.array().cast("array<string>")))
@@ -422,12 +453,14 @@ def _(c: Corpus) -> DataFrame:
 # Python on the executors; no SQL
 
 
-@register("decode_text")
+@register("decode_text", "SELECT doc_id, sha256(text) AS hash FROM documents")
 def _(c: Corpus) -> DataFrame:
     from ..sources.files import decode_text
 
     docs = c.table("documents")
-    coded = F.when(F.col("doc_id") % 3 == 0, F.encode("text", "UTF-16LE")).when(F.col("doc_id") % 3 == 1, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    wide = F.encode("text", "UTF-16LE")
+    marked = F.when(F.char_length("text") < 16, F.concat(F.unhex(F.lit("FFFE")), wide)).otherwise(wide)  # too short to tell without
+    coded = F.when(F.col("doc_id") % 3 == 0, marked).when(F.col("doc_id") % 3 == 1, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
     return docs.select("doc_id", decode_text(coded).alias("text")).select("doc_id", F.sha2("text", 256).alias("hash"))
 
 
@@ -450,8 +483,3 @@ def _(c: Corpus) -> DataFrame:
     from ..sources.embed import HashingModel, embed
 
     return embed(c.passages.select(*KEY, "text"), HashingModel(64), KEY)
-
-
-@register("hybrid_report", "SELECT query_id, count(*) AS n FROM (" + _hybrid_sql(B.WORDS, False, False) + ") GROUP BY query_id")
-def _(c: Corpus) -> DataFrame:
-    return S.search(c, c.queries_words, meaning=False, by_name=False).groupBy("query_id").agg(F.count("*").alias("n"))

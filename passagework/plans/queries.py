@@ -114,13 +114,7 @@ _filtered("filter_kind", Filter(extensions=("txt", "md", "markdown")), "doc_id %
 _filtered("filter_date", Filter(modified_since=NOW - 366 * 86400), f"modified_secs >= {NOW - 366 * 86400}")
 
 
-@register("strip_controls", r"SELECT doc_id, regexp_replace(chr(1) || left(text, 100) || chr(9) || chr(127) || 'x' || chr(133), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g') AS text FROM documents")
-def _(c: Corpus) -> DataFrame:
-    raw = F.concat(F.lit("\u0001"), F.substring("text", 1, 100), F.lit("\t\u007fx\u0085"))
-    return c.table("documents").select("doc_id", X.strip_controls(raw).alias("text"))
-
-
-@register("strip_controls_whole", r"SELECT doc_id, regexp_replace(chr(1) || text || chr(9) || chr(127) || 'x' || chr(133), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g') AS text FROM documents")
+@register("strip_controls", r"SELECT doc_id, regexp_replace(chr(1) || text || chr(9) || chr(127) || 'x' || chr(133), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x{9f}]', '', 'g') AS text FROM documents")
 def _(c: Corpus) -> DataFrame:
     raw = F.concat(F.lit("\u0001"), F.col("text"), F.lit("\t\u007fx\u0085"))
     return c.table("documents").select("doc_id", X.strip_controls(raw).alias("text"))
@@ -284,12 +278,12 @@ def _(c: Corpus) -> DataFrame:
 
 # 5. vectors
 
-_KNN = "SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6), e.vec_id) AS rank, e.vec_id, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id < 20) q QUALIFY rank <= 10"
+_KNN = "SELECT q.vec_id AS query_id, row_number() OVER (PARTITION BY q.vec_id ORDER BY round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6), e.vec_id) AS rank, e.vec_id, round(list_distance(CAST(e.embedding AS DOUBLE[]), CAST(q.embedding AS DOUBLE[])), 6) AS distance FROM embeddings e CROSS JOIN (SELECT * FROM embeddings WHERE vec_id % 100 = 0) q QUALIFY rank <= 10"
 
 
 def _knn(c: Corpus) -> DataFrame:
     e = c.table("embeddings")
-    return nearest.knn(e, e.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding"), ["vec_id"], 10)
+    return nearest.knn(e, e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), ["vec_id"], 10)
 
 
 @register("knn_l2", _KNN)
@@ -308,14 +302,7 @@ def _(c: Corpus) -> DataFrame:
     return c.table("embeddings").select("vec_id", F.round(F.element_at(V.unit(tripled), 1), 6).alias("first"), F.round(V.dot(tripled, tripled), 6).alias("squared"))
 
 
-@register("mean_pool", "SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS x1, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS x64 FROM embeddings WHERE vec_id < 200 GROUP BY label")
-def _(c: Corpus) -> DataFrame:
-    rows = c.table("embeddings").where("vec_id < 200").groupBy("label").agg(F.count("*").alias("n"), F.collect_list(V.doubles(F.col("embedding"))).alias("rows"))
-    pooled = rows.select("label", "n", V.mean_pool(F.col("rows")).alias("v"))
-    return pooled.select("label", "n", F.round(F.element_at("v", 1), 6).alias("x1"), F.round(F.element_at("v", 64), 6).alias("x64"))
-
-
-@register("mean_pool_whole", "SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS x1, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS x64 FROM embeddings GROUP BY label")
+@register("mean_pool", "SELECT label, count(*) AS n, round(avg(CAST(embedding[1] AS DOUBLE)), 6) AS x1, round(avg(CAST(embedding[64] AS DOUBLE)), 6) AS x64 FROM embeddings GROUP BY label")
 def _(c: Corpus) -> DataFrame:
     pooled = V.mean_of_groups(c.table("embeddings"), "label", "embedding", 64)
     return pooled.select("label", "n", F.round(F.element_at("embedding", 1), 6).alias("x1"), F.round(F.element_at("embedding", 64), 6).alias("x64"))
@@ -458,25 +445,8 @@ def _(c: Corpus) -> DataFrame:
     return c.table("conversations").select("conv_id", "turn", results.location(end, F.lit(1).cast("long"), end).alias("paged"), results.location(none, F.lit(1).cast("long"), end).alias("lined"))
 
 
-_FIRST40 = "left(text, 200)"
-
-
 @register(
     "spans",
-    r"""WITH p AS (SELECT doc_id, regexp_extract_all(left(text, 200), '[\p{L}\p{N}\p{Co}]+|[^\p{L}\p{N}\p{Co}]+') AS ps FROM documents),
-e AS (SELECT doc_id, unnest(range(0, len(ps))) AS i, unnest(ps) AS t FROM p),
-m AS (SELECT doc_id, i, t, list_contains(['the', 'und', 'de', 'that', 'ete'], lower(strip_accents(t))) AS marked FROM e),
-g AS (SELECT *, sum(CASE WHEN marked THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM m),
-s AS (SELECT doc_id, k, marked, min(i) AS i, string_agg(t, '' ORDER BY i) AS text FROM g GROUP BY doc_id, k, marked)
-SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS no, text, marked FROM s""",
-)
-def _(c: Corpus) -> DataFrame:
-    marked = keyword.highlight(F.substring("text", 1, 200), F.array(*map(F.lit, _TERMS)))
-    return c.table("documents").select("doc_id", F.posexplode(results.spans(marked)).alias("no", "s")).select("doc_id", F.col("no").cast("long").alias("no"), "s.text", "s.marked")
-
-
-@register(
-    "spans_whole",
     r"""WITH p AS (SELECT doc_id, regexp_extract_all(text, '[\p{L}\p{N}\p{Co}]+|[^\p{L}\p{N}\p{Co}]+') AS ps FROM documents),
 e AS (SELECT doc_id, unnest(range(0, len(ps))) AS i, unnest(ps) AS t FROM p),
 m AS (SELECT doc_id, i, t, list_contains(['the', 'und', 'de', 'that', 'ete'], lower(strip_accents(t))) AS marked FROM e),

@@ -22,6 +22,18 @@ passages AS (
   FROM (SELECT hash, w, unnest(range(0, CASE WHEN len(w) = 0 THEN 0 WHEN len(w) <= {size} THEN 1 ELSE CAST(ceil((len(w) - {size}) / {stride}.0) AS BIGINT) + 1 END)) AS i FROM cw))"""
 
 
+def passage_lines(size: int = 200, overlap: int = 30) -> str:
+    """plines: first and last line of each passage."""
+    stride = size - overlap
+    return rf"""
+lw AS (
+  SELECT hash, line, unnest(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) AS word, unnest(range(1, len(list_filter(string_split_regex(t, '\s+'), lambda x: x <> '')) + 1)) AS nth
+  FROM (SELECT hash, unnest(range(1, len(ls) + 1)) AS line, unnest(ls) AS t FROM (SELECT hash, string_split(text, chr(10)) AS ls FROM contents))),
+ln AS (SELECT hash, line, row_number() OVER (PARTITION BY hash ORDER BY line, nth) - 1 AS i FROM lw),
+plines AS (
+  SELECT p.hash, p.ordinal, min(line) AS start_line, max(line) AS end_line FROM passages p JOIN ln ON ln.hash = p.hash AND i >= p.ordinal * {stride} AND i < p.ordinal * {stride} + {size} GROUP BY p.hash, p.ordinal)"""
+
+
 INDEX = passages() + r""",
 toks AS (
   SELECT hash, ordinal, unnest(regexp_extract_all(lower(strip_accents(text)), '[\p{L}\p{N}\p{Co}]+')) AS term,

@@ -62,6 +62,8 @@ def _legacy(data: bytes) -> str:
         joined = len(re.findall(f"[{script}][{script}]", text)) / foreign
         if name == "cp1251":  # Cyrillic words don't change from small letters to capitals
             joined -= 3 * len(re.findall("[а-яё][А-ЯЁ]", text)) / foreign
+        if name != "cp1252":  # a word is of one script
+            joined -= 2 * len(re.findall(f"[A-Za-z][{script}]|[{script}][A-Za-z]", text)) / foreign
         # whole words of another script beat single accented letters
         worth = inside + (joined if name != "cp1252" else 0.5 * (joined < 0.3))
         if best is None or worth > best:

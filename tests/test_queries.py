@@ -43,13 +43,13 @@ def test_every_query_has_a_name_of_its_own():
     assert set(sql) <= set(plans) and len(plans) > 90
 
 
-@pytest.mark.parametrize("name", ["mean_pool_whole", "strip_controls_whole", "spans_whole"])
+@pytest.mark.parametrize("name", ["mean_pool", "strip_controls", "spans"])
 def test_whole_tables_equal_their_sql(spark, duck, name):
     test_query_equals_its_sql(spark, duck, name)
 
 
 def test_mean_pool_reads_every_row(spark):
-    got = queries.load()[0]["mean_pool_whole"](spark, DATA).collect()
+    got = queries.load()[0]["mean_pool"](spark, DATA).collect()
     assert sum(r.n for r in got) == spark.read.parquet(f"{DATA}/embeddings.parquet").count() > 200
 
 
@@ -57,6 +57,6 @@ def test_texts_are_cleaned_and_marked_to_their_ends(spark, tmp_path):
     text = "filler " * 100 + "a\u0007b the end"
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plans = queries.load()[0]
-    assert "ab the end" in plans["strip_controls_whole"](spark, str(tmp_path)).first().text
-    spans = plans["spans_whole"](spark, str(tmp_path)).orderBy("no").collect()
+    assert "ab the end" in plans["strip_controls"](spark, str(tmp_path)).first().text
+    spans = plans["spans"](spark, str(tmp_path)).orderBy("no").collect()
     assert "".join(r.text for r in spans) == text and [r.text for r in spans if r.marked] == ["the"]
