@@ -88,12 +88,14 @@ def pattern_fault(pattern: Column) -> Column:
     )
 
 
-def synced_by(path: Column) -> Column:
-    """The service that syncs a folder on the path, by name; the first one."""
+def synced_by(path: Column, onedrive: list[str] | None = None) -> Column:
+    """The service that syncs a folder on the path: OneDrive by the folders that it names itself, the others by name,
+    the first one on the path."""
     parts = F.transform(F.split(path, r"[/\\]"), F.lower)
-    known = F.filter(parts, lambda c: c.isin(*SYNCED))
-    out = None
+    known = F.get(F.filter(parts, lambda c: c.isin(*SYNCED)), 0)
+    out = F.lit(None).cast("string")
     for folder, service in SYNCED.items():
-        hit = F.get(known, 0) == folder
-        out = F.when(hit, service) if out is None else out.when(hit, service)
+        out = F.when(known == folder, service).otherwise(out)
+    for folder in onedrive or []:
+        out = F.when(inside(path, folder) | (path == folder), "OneDrive").otherwise(out)
     return out

@@ -36,14 +36,19 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(text, r"\s+", -1), "")
 
 
+def _small(text: Column) -> Column:
+    """In small letters; the dot that a capital leaves as a mark of its own is dropped."""
+    return F.translate(F.lower(text), "\u0307", "")
+
+
 def tokens(text: Column) -> Column:
     """Index tokens: runs of letters and digits, lower case, without Latin marks."""
-    return F.regexp_extract_all(F.lower(fold(text)), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(fold(_small(text)), F.lit(TOKEN), F.lit(0))
 
 
 def surfaces(text: Column) -> Column:
-    """The tokens as written, in lower case, in step with ``tokens``."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    """The tokens as written, in lower case, in step with ``tokens``: folding puts one letter for one."""
+    return F.regexp_extract_all(_small(text), F.lit(TOKEN), F.lit(0))
 
 
 def strip_controls(text: Column) -> Column:

@@ -65,6 +65,29 @@ def known_paths(files: DataFrame, problems: DataFrame, prefix: str) -> DataFrame
     return files.select("path").where(F.col("path").startswith(prefix)).union(problems.select("path").where(F.col("path").startswith(prefix))).distinct()
 
 
+def under(paths: DataFrame, folders: DataFrame) -> DataFrame:
+    """The paths below one of the folders: each path is joined on the folders above it."""
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    spread = paths.select("path", F.explode(above).alias("_f"))
+    return spread.join(folders.select(F.col("path").alias("_f")).distinct(), "_f", "left_semi").select("path").distinct()
+
+
+def index_faults(passages: DataFrame, held: DataFrame, sizes: DataFrame, files: DataFrame, key: list[str]) -> DataFrame:
+    """One row: postings that should be there, and how many are missing, wrong, or of no passage; lengths that are wrong
+    or missing; passages of no file."""
+    from . import postings
+
+    fresh = postings.postings(passages, key).select(*key, "term", "surface", F.col("tf").alias("_tf"), F.col("positions").alias("_p"), F.lit(1).alias("_f"))
+    both = fresh.join(held.select(*key, "term", "surface", "tf", "positions", F.lit(1).alias("_h")), [*key, "term", "surface"], "full")
+    wrong = F.col("_f").isNotNull() & F.col("_h").isNotNull() & ((F.col("tf") != F.col("_tf")) | (F.col("positions") != F.col("_p")))
+    counts = both.agg(F.count("_f").alias("postings"), F.count_if(F.col("_h").isNull()).alias("missing"), F.count_if(F.col("_f").isNull()).alias("extra"), F.count_if(wrong).alias("wrong"))
+    lengths = postings.lengths(passages, key).withColumnRenamed("dl", "_dl").join(sizes, key, "full")
+    lengths = lengths.agg(F.count_if(F.coalesce(F.col("dl") != F.col("_dl"), F.lit(True))).alias("lengths"))
+    orphans = passages.join(files.select("hash").distinct(), "hash", "left_anti").agg(F.count("*").alias("orphans"))
+    return counts.join(F.broadcast(lengths)).join(F.broadcast(orphans))  # one row each
+
+
 def record_problems(problems: DataFrame, new: DataFrame) -> DataFrame:
     """``problems`` with ``new`` (path, size, modified_secs, reason): one more attempt where size and date are the
     same, else the first."""

@@ -160,25 +160,40 @@ def _(c: Corpus) -> DataFrame:
     return counted.withColumn("bulk", M.bulk(F.col("leaving"), F.col("n")))
 
 
-@register("integrity_check", with_(B.INDEX, "SELECT count(*) AS postings, CAST(0 AS BIGINT) AS missing, CAST(0 AS BIGINT) AS extra, CAST(0 AS BIGINT) AS orphans FROM (SELECT DISTINCT hash, ordinal, term, surface FROM toks)"))
+_STORED = """,
+held AS (
+  SELECT hash, ordinal, term, surface, count(*) AS tf, list(pos ORDER BY pos) AS positions FROM toks GROUP BY hash, ordinal, term, surface),
+kept AS (SELECT hash, ordinal, term, surface, CASE WHEN ordinal % 11 = 5 THEN tf + 1 ELSE tf END AS tf, positions FROM held WHERE ordinal % 7 <> 3
+         UNION ALL SELECT hash, -1, term, surface, tf, positions FROM held WHERE ordinal % 13 = 6),
+live AS (SELECT hash FROM files WHERE doc_id % 9 <> 4)"""
+
+
+@register(
+    "integrity_check",
+    with_(
+        B.INDEX + _STORED,
+        """SELECT (SELECT count(*) FROM held) AS postings, (SELECT count(*) FROM held WHERE ordinal % 7 = 3) AS missing, (SELECT count(*) FROM kept WHERE ordinal = -1) AS extra,
+        (SELECT count(*) FROM held WHERE ordinal % 7 <> 3 AND ordinal % 11 = 5) AS wrong, (SELECT count(*) FROM dl WHERE ordinal % 5 = 2 OR ordinal % 6 = 1) AS lengths,
+        (SELECT count(*) FROM passages WHERE hash NOT IN (SELECT hash FROM live)) AS orphans""",
+    ),
+)
 def _(c: Corpus) -> DataFrame:
-    fresh = postings.postings(c.passages, KEY).select(*KEY, "term", "surface", "tf", F.lit(1).alias("f"))
-    held = c.index.select(*KEY, "term", "surface", F.col("tf").alias("tf_"), F.lit(1).alias("h"))
-    both = fresh.join(held, [*KEY, "term", "surface"], "full")
-    wrong = F.col("h").isNull() | (F.col("tf") != F.col("tf_"))
-    counts = both.agg(F.count("*").alias("postings"), F.count_if(F.coalesce(wrong, F.lit(True))).alias("missing"), F.count_if(F.col("f").isNull()).alias("extra"))
-    orphans = c.passages.join(c.files.select("hash").distinct(), "hash", "left_anti").agg(F.count("*").alias("orphans"))
-    return counts.join(F.broadcast(orphans))  # one row each
+    """A stored index with faults planted: postings lost, doubled under no passage and miscounted, lengths lost and wrong,
+    files gone."""
+    held = c.index.where("ordinal % 7 <> 3").withColumn("tf", F.when(F.col("ordinal") % 11 == 5, F.col("tf") + 1).otherwise(F.col("tf")))
+    held = held.unionByName(c.index.where("ordinal % 13 = 6").withColumn("ordinal", F.lit(-1).cast("long")))
+    sizes = c.lengths.where("ordinal % 5 <> 2").withColumn("dl", F.when(F.col("ordinal") % 6 == 1, F.col("dl") + 1).otherwise(F.col("dl")))
+    return M.index_faults(c.passages, held, sizes, c.files.where("doc_id % 9 <> 4"), KEY)
 
 
-@register("counts", with_(B.passages(), "SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM contents) AS contents, (SELECT count(*) FROM passages) AS passages, CAST(0 AS BIGINT) AS vectors"))
+@register("counts", with_(B.passages(), "SELECT (SELECT count(*) FROM files) AS files, (SELECT count(*) FROM contents) AS contents, (SELECT count(*) FROM passages) AS passages, (SELECT count(*) FROM embeddings) AS vectors"))
 def _(c: Corpus) -> DataFrame:
-    tables = {"files": c.files, "contents": c.contents, "passages": c.passages}
+    tables = {"files": c.files, "contents": c.contents, "passages": c.passages, "vectors": c.table("embeddings")}
     rows = None
     for name, t in tables.items():
         part = t.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
         rows = part if rows is None else rows.unionByName(part)
-    return rows.agg(*[F.coalesce(F.sum(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).alias(n) for n in tables], F.lit(0).cast("long").alias("vectors"))
+    return rows.agg(*[F.coalesce(F.sum(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).alias(n) for n in tables])
 
 
 # evaluation

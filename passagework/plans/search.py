@@ -13,6 +13,9 @@ from ..sources.corpus import KEY, Corpus
 
 
 def passage_vectors(corpus: Corpus) -> DataFrame:
+    """Stored vectors, or else those of the stand-in word model."""
+    if hasattr(corpus, "vectors"):
+        return corpus.vectors
     return V.with_word_vector(corpus.passages.select(*KEY, "text"), F.col("text")).drop("text")
 
 
@@ -27,7 +30,8 @@ def keyword_hits(corpus: Corpus, queries: DataFrame, limit: int) -> DataFrame:
 
 
 def meaning_hits(corpus: Corpus, queries: DataFrame, limit: int) -> DataFrame:
-    hits = nearest.knn(passage_vectors(corpus), query_vectors(queries), KEY, limit)
+    asked = corpus.query_vectors(queries) if hasattr(corpus, "query_vectors") else query_vectors(queries)
+    hits = nearest.knn(passage_vectors(corpus), asked, KEY, limit)
     return hits.join(results.copies(corpus.files).select("hash", "path"), "hash").select("query_id", "rank", "path", *KEY)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import types as T
 FILES = T.StructType([T.StructField("path", T.StringType(), False), T.StructField("size", T.LongType(), False), T.StructField("modified_secs", T.LongType(), False), T.StructField("hash", T.StringType(), False)])
 PASSAGES = T.StructType([T.StructField("hash", T.StringType(), False), T.StructField("ordinal", T.LongType(), False), T.StructField("page", T.LongType()), T.StructField("start_line", T.LongType(), False), T.StructField("end_line", T.LongType(), False), T.StructField("text", T.StringType(), False)])
 VECTORS = T.StructType([T.StructField("hash", T.StringType(), False), T.StructField("ordinal", T.LongType(), False), T.StructField("embedding", T.ArrayType(T.DoubleType(), False), False)])
+POSTINGS = T.StructType([T.StructField("hash", T.StringType(), False), T.StructField("ordinal", T.LongType(), False), T.StructField("term", T.StringType(), False), T.StructField("surface", T.StringType(), False), T.StructField("tf", T.LongType(), False), T.StructField("positions", T.ArrayType(T.LongType()))])
+LENGTHS = T.StructType([T.StructField("hash", T.StringType(), False), T.StructField("ordinal", T.LongType(), False), T.StructField("dl", T.LongType(), False)])
 PROBLEMS = T.StructType([T.StructField("path", T.StringType(), False), T.StructField("size", T.LongType(), False), T.StructField("modified_secs", T.LongType(), False), T.StructField("reason", T.StringType(), False), T.StructField("attempts", T.IntegerType(), False)])
 
 SCHEMA_VERSION, OLDEST_UPGRADED = 5, 3
