@@ -2,8 +2,8 @@
 
 Sets that are equal form a class with one representative (the smallest doc_id). Tokens are ordered with those that
 many documents share last, then by hash; two sets that link share a token of their prefixes. The inverted lists
-of the prefix tokens are sorted by the token's position in the set, and whole stretches are skipped where the length
-and position bounds rule a link out.
+of the prefix tokens are sorted by the token's position in the set, and pairs that the length and position bounds rule
+out are left.
 
 Answers are derived, not recomputed, where sets are alike. In a list of more than ``SMALL_LIST`` sets, a set is
 first held only against the list's leader, the set in which the token stands earliest. Verified links are joined to
@@ -19,8 +19,9 @@ A candidate pair is held against parity sketches first, where each token flips o
 differ in few bits, so a pair with more is no link. What passes is verified on the whole sets.
 
 A text is linked with others if 100 * intersection >= ``percent`` * union. Nulls and empty texts have empty sets,
-linked with nothing. A row without a doc_id links nothing and has no component. Rows that share a doc_id count as
-one document. Extra columns are ignored. An empty table gives no rows.
+linked with nothing. A row without a doc_id links nothing and has no component. Rows that share a doc_id are judged
+apart, each by its own text. Ties need no rule: a component bears its smallest doc_id. Extra columns are ignored. An
+empty table gives no rows. A text is held whole in a worker, with some 60 times its bytes.
 """
 
 from __future__ import annotations
@@ -40,7 +41,9 @@ from .words import find_words, shingles, slices
 WORDS, PERCENT = 4, 85
 SMALL_LIST = 8
 HOT_LEAST, HOT_BITS = 64, 21
-BLOCK = 1 << 23
+BLOCK = 1 << 21
+#: Bytes of whole sets sent on at a time.
+SENT = 1 << 22
 #: Representatives in candidate pairs are broadcast up to so many ids (8 bytes each), else joined by a shuffle.
 BROADCAST_IDS = 2_000_000
 #: Sets compared with one leader in one group; larger groups are split, the leader's set goes to each part.
@@ -288,12 +291,20 @@ def _set_rows(k: int, wanted):
             if ids is not None:
                 own = batch.column(0).to_numpy(zero_copy_only=False)
                 batch = batch.filter(pa.array(among(own, ids)))
-            if batch.num_rows:
-                own, rows, sets = batch.column(0), [], []
-                for r, s in sets_of(batch, k):
-                    rows.append(r)
-                    sets.append(s.tobytes())
-                yield pa.RecordBatch.from_arrays([own.take(pa.array(rows, pa.int64())), pa.array(sets, pa.binary())], ["x", "set"])
+            own, rows, sets, held = batch.column(0), [], [], 0
+
+            def out() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([own.take(pa.array(rows, pa.int64())), pa.array(sets, pa.binary())], ["x", "set"])
+
+            for r, s in sets_of(batch, k):
+                rows.append(r)
+                sets.append(s.tobytes())
+                held += s.nbytes
+                if held >= SENT:
+                    yield out()
+                    rows, sets, held = [], [], 0
+            if rows:
+                yield out()
 
     return run
 
@@ -395,4 +406,4 @@ def keep_one(docs: DataFrame, scratch: Scratch, k: int, percent: int) -> DataFra
     """The rows of ``docs`` of each component's smallest doc_id, and those without a doc_id."""
     gone = scratch.save(link(docs, scratch, k, percent).where("doc_id <> component_id").select("doc_id").distinct(), "gone")
     small = gone.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if small else gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
