@@ -4,17 +4,20 @@ A line's set is its distinct words, lower-cased. A line goes if an earlier line,
 set with a Jaccard similarity of 0.8 or more, whether or not that line goes as well. Lines without words stay.
 
 Words are ordered by rarity: by how often words of their hash bucket come (``BUCKETS`` counts over the whole corpus, a
-bounded array in the plan), then by hash. Two similar sets share a word of their prefixes, the rarest n - ceil(0.8 n)
-+ 1 words. Lists of lines that share a prefix word are joined under four bounds, all exact: by length, by position, by
-order, and by parity (64 bits, each word flips one; sets that differ in few words differ in few bits). What passes is
-verified on the whole sets.
+bounded array in the plan, three levels to each doubling), then by hash. Of two similar sets let the smaller have n
+words and the larger m. They share 4/9 of n + m at least, so one of these words is among the n // 9 + 1 rarest of the
+smaller and the m // 5 + 1 rarest of the larger. Lists of lines that share such a word are joined under four bounds,
+all exact: by length, by position, by order, and by parity (each word flips one of 64 bits, of 128 where both sets have
+more than ``ONE_LANE`` words; sets that differ in few words differ in few bits). What passes is verified on the whole
+sets.
 
 Equal sets are one class, kept by its first line. Against large groups of near copies the join has two steps. First a
-class meets only the first line of its lists; what that removes needs no further answer. Then the rest meet their
-lists. No group is emitted as pairs or collected; all is DataFrame functions.
+class meets only the first lines of the lists of a few of its rarest words, ``LEADERS`` at most in each; what that
+removes needs no further answer. Then the rest meet their lists. No group is emitted as pairs or collected; all is DataFrame functions.
 
 Nulls: a null text has no lines. A row without a doc_id comes after all others. Rows with the same doc_id and text
-are judged as one. Extra columns are kept where whole documents are returned. An empty table gives no rows.
+are judged as one. Extra columns are kept where whole documents are returned. An empty table gives no rows. A text is
+split within its row, so a very long one takes some ten times its bytes in one task.
 """
 
 from __future__ import annotations
@@ -26,161 +29,196 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-BUCKETS = 1 << 16
-#: Prefix words of a class that look for a first line in the first step.
-FIRST_WORDS = 2
-#: Classes to verify are broadcast up to so many (8 bytes each), else joined by a shuffle.
-BROADCAST_CLASSES = 1_000_000
-#: Lanes of 64 bits of the parity that pairs are held against before whole sets are; a power of two.
-LANES = 4
+BUCKETS = 1 << 18
+#: Words of a class that look for a first line in the first step: the rarest, and those of least hash among its n // 5
+#: + 1 rarest, which edits that bring in new words don't push out.
+FIRST_WORDS, ANY_WORDS = 1, 3
+#: First lines of a list in the first step: one in each of so many shares of the list.
+LEADERS = 24
+#: Sets of more words have parities of 128 bits.
+ONE_LANE = 72
+#: Classes to verify are broadcast up to so many (a place of three numbers, some 100 bytes), else joined by a shuffle.
+BROADCAST_CLASSES = 500_000
 #: Parts of the last join's words, one after the other; each shuffles its share of the entries.
-TURNS = 4
+TURNS = 3
 LAST = (1 << 63) - 1
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("tag"), text.alias("text"))
+    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text.alias("text")).select("d", F.xxhash64("text").alias("tag"), "text")
 
 
-def _split(text: Column) -> Column:
-    """Words between single spaces, empty ones too; other white space is made one first, where there is any."""
-    plain = F.when(text.rlike(r"[\x09-\x0D]"), F.regexp_replace(text, r"[\x09-\x0D]", " ")).otherwise(text)
-    return F.split(F.lower(plain), " ", -1)
+def _spaced(text: str) -> Column:
+    """The column's text with spaces for white space other than line ends, where there is any."""
+    odd = reduce(Column.__or__, [F.contains(F.col(text), F.lit(c)) for c in "\t\x0b\x0c\r"])
+    return F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(F.col(text))
 
 
 def rarity(docs: DataFrame) -> Column:
-    """An array: place of each hash bucket in the order of how often its words come in the corpus."""
-    bucket = F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")
-    # a whole text has line ends, so it is split at every white space at once
-    given = docs.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"[\x20\x09-\x0D]", -1)).alias("w")).where("w <> ''")
-    counts = given.select(bucket).groupBy("b").count().collect()  # BUCKETS rows at most
-    n = [0] * BUCKETS
-    for row in counts:
-        n[row["b"]] = row["count"]
-    rank = [0] * BUCKETS
-    for place, b in enumerate(sorted(range(BUCKETS), key=lambda b: (n[b], b))):
-        rank[b] = place
-    return F.split(F.lit(",".join(map(str, rank))), ",").cast("array<bigint>")
-
-
-def line_sets(docs: DataFrame, rank: Column, wanted: DataFrame | None = None) -> DataFrame:
+    """An array: level of each hash bucket by how often its words come in the corpus, three to each doubling."""
+    text = docs.select(F.lower(F.col("text").cast("string")).alias("text")).select(_spaced("text").alias("text"))
+    given = text.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("w")).where("w <> ''")
+    counts = given.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).count()
+    level = F.least(F.lit(127), F.floor(3 * F.log2(F.col("count"))).cast("int"))
+    row = counts.agg(F.collect_list("b").alias("b"), F.collect_list(level).alias("l")).first()  # BUCKETS at most
+    levels = [0] * BUCKETS
+    for b, x in zip(row["b"], row["l"], strict=True):
+        levels[b] = x
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")
+
+
+def line_sets(docs: DataFrame, levels: Column, wanted: DataFrame | None = None) -> DataFrame:
     """d, tag, line_no, codes (the distinct words in their order, as sorted numbers), n, and the class's key k1, k2 of
     every line with a word; with ``wanted``, of its lines (d, tag, line_no) only."""
 
-    def code(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.call_function("shiftleft", F.get(rank, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(47)).bitwiseOR(F.shiftrightunsigned(h, 17))
+    def code(h: Column) -> Column:
+        level = F.coalesce(F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("byte"))
+        return F.call_function("shiftleft", level.cast("long"), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
 
-    rows = _keyed(docs).select("d", "tag", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
+    rows = _keyed(docs)
+    if wanted is not None:
+        rows = rows.join(wanted.select("d", "tag").distinct(), ["d", "tag"], "left_semi")
+    rows = rows.select("d", "tag", F.posexplode(F.split(_spaced("text"), "\n", -1)).alias("line_no", "line"))
     # a condition on codes would be pushed below and make them twice, and for lines that nobody wants
-    rows = rows.where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    rows = rows.where(F.trim("line") != "")
     if wanted is not None:
         rows = rows.join(wanted, ["d", "tag", "line_no"], "left_semi")
-    codes = F.sort_array(F.array_distinct(F.array_remove(F.transform(_split(F.col("line")), code), code(F.lit("")))))
+    hashes = F.transform(F.split(F.lower("line"), " ", -1), lambda w: F.xxhash64(w))
+    codes = F.sort_array(F.array_remove(F.array_distinct(F.transform(hashes, code)), code(F.xxhash64(F.lit("")))))
     rows = rows.select("d", "tag", "line_no", codes.alias("codes"))
     return rows.withColumns({"n": F.size("codes"), "k1": F.xxhash64("codes"), "k2": F.xxhash64(F.lit(1), "codes")})
 
 
-def _flip(code: Column, lane: int | None = None) -> Column:
-    """The bit of 64 that a word flips; with ``lane``, that of a word of this lane (of ``LANES``), else none."""
-    bit = F.call_function("shiftleft", F.lit(1).cast("long"), code.bitwiseAND(63).cast("int"))
-    return bit if lane is None else F.when(F.shiftright(code, 6).bitwiseAND(LANES - 1) == lane, bit).otherwise(F.lit(0).cast("long"))
+def _parity(codes: Column) -> Column:
+    """Each word flips one of 64 bits."""
+    one = F.lit(1).cast("long")
+    return F.aggregate(codes, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))))
 
 
 def _bounds() -> str:
-    """Length, position and parity of classes x (n, i, parity) and y (n_, i_, parity_): all that similar sets allow."""
-    return "5 * least(n, n_) >= 4 * greatest(n, n_) and 9 * least(n - i, n_ - i_) >= 4 * (n + n_) and bit_count(parity ^ parity_) * 9 <= n + n_"
+    """Length, position and parity of two classes, all that similar sets allow, and that the later one is open.
+    q: size, place and whether open, packed; p: parity of all words; o: parity of those of the second lane."""
+    n, m, i, j = "shiftright(q, 33)", "shiftright(q_, 33)", "(shiftright(q, 1) & 4294967295)", "(shiftright(q_, 1) & 4294967295)"
+    lanes = "bit_count((p ^ o) ^ (p_ ^ o_)) + bit_count(o ^ o_)"
+    sizes = f"5 * least({n}, {m}) >= 4 * greatest({n}, {m}) and 9 * least({n} - {i}, {m} - {j}) >= 4 * ({n} + {m})"
+    parity = f"9 * bit_count(p ^ p_) <= {n} + {m} and (least({n}, {m}) <= {ONE_LANE} or 9 * ({lanes}) <= {n} + {m})"
+    return f"{sizes} and {parity} and ((d_ <= d and (q & 1) = 1) or (d <= d_ and (q_ & 1) = 1))"
+
+
+def _entries(classes: DataFrame, words: Column) -> DataFrame:
+    """code, x, d, p, o and q of ``words`` of each class; q holds a word's place in the array."""
+    q = "shiftleft(cast(n as bigint), 33) | shiftleft(cast(i as bigint), 1) | cast(open as bigint)"
+    # sets of three words or fewer are similar to none but their equals
+    given = classes.where("n >= 4").select(F.posexplode(words).alias("i", "code"), F.col("k1").alias("x"), "n", "p", "o", F.col("first.d").alias("d"), "open")
+    return given.select("code", "x", "d", "p", "o", F.expr(q).alias("q"))
 
 
-def _entries(classes: DataFrame, words: int | None = None) -> DataFrame:
-    prefix = F.slice("prefix", 1, words) if words else F.col("prefix")
-    # sets of three words or fewer are similar to none but their equals
-    return classes.where("n >= 4").select(F.posexplode(prefix).alias("i", "code"), F.col("k1").alias("x"), "n", "parity", F.col("first.d").alias("d"))
+def _rarest(words: str) -> Column:
+    return F.slice("prefix", F.lit(1), F.expr(words))
+
+
+def _other(entries: DataFrame) -> DataFrame:
+    return entries.select("code", *[F.col(c).alias(f"{c}_") for c in ("x", "d", "p", "o", "q")])
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """A written table, broadcast if it has ``BROADCAST_CLASSES`` rows or fewer."""
+    return F.broadcast(table) if table.count() <= BROADCAST_CLASSES else table
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rank: Column, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """k1, k2 of the classes x that are similar to an earlier class y. ``pairs`` is a written table."""
-    ids = pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "k1")
-    named = scratch.save(classes.select("k1", "k2", "first").join(ids, "k1", "left_semi"), f"{name}_ids")
-    places = named.select("first.*")
-    small = named.count() <= BROADCAST_CLASSES
-    sets = line_sets(docs, rank, F.broadcast(places) if small else places).select("k1", "k2", "codes").dropDuplicates(["k1", "k2"])
+def _sets(pairs: DataFrame, docs: DataFrame, levels: Column, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """k1, k2, codes and first of the classes in ``pairs`` (x, y), a written table."""
+    ids = scratch.save(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "k1"), f"{name}_ids")
+    named = scratch.save(classes.select("k1", "k2", "first").join(_small(ids), "k1", "left_semi"), f"{name}_named")
+    places = scratch.save(named.select("first.*"), f"{name}_places")
+    sets = line_sets(docs, levels, _small(places)).select("k1", "k2", "codes").dropDuplicates(["k1", "k2"])
     sets = scratch.save(sets.join(named, ["k1", "k2"]), f"{name}_sets")
-    # longer parities first, so that whole sets are shuffled only for pairs that are most likely similar
-    bits = sets.select("k1", "first", F.size("codes").alias("n"), F.explode("codes").alias("code"))
-    light = bits.groupBy("k1", "first", "n").agg(*[F.bit_xor(_flip(F.col("code"), lane)).alias(f"p{lane}") for lane in range(LANES)])
-    light = scratch.save(light, f"{name}_light")
-    light_ = light.select(*[F.col(c).alias(f"{c}_") for c in light.columns])
-    differ = reduce(Column.__add__, [F.bit_count(F.col(f"p{lane}").bitwiseXOR(F.col(f"p{lane}_"))) for lane in range(LANES)])
-    close = pairs.join(light, F.col("x") == F.col("k1")).join(light_, F.col("y") == F.col("k1_")).where("first_ < first").where(differ * 9 <= F.col("n") + F.col("n_"))
-    close = scratch.save(close.select("x", "y"), f"{name}_close")
-    x = sets.select(F.col("k1").alias("x"), "k2", "codes", "first")
-    y = sets.select(F.col("k1").alias("y"), F.col("codes").alias("codes_"), F.col("first").alias("first_"))
-    both = close.join(x, "x").join(y, "y").where("first_ < first")
-    found = both.where("9 * size(array_intersect(codes, codes_)) >= 4 * (size(codes) + size(codes_))")
-    out = scratch.save(found.select(F.col("x").alias("k1"), "k2").distinct(), name)
-    scratch.drop(f"{name}_ids", f"{name}_sets", f"{name}_light", f"{name}_close")
-    return out
+    scratch.drop(f"{name}_ids", f"{name}_named", f"{name}_places")
+    return sets
 
 
-def repeated_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """d, tag and line_no of every line that goes (d is doc_id, or LAST where that is null)."""
-    rank = rarity(docs)
-    parity = F.aggregate("codes", F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(_flip(x)))
-    prefix = F.slice("codes", 1, F.col("n") - F.floor((F.col("n") * 4 + 4) / 5).cast("int") + 1)
-    rows = scratch.save(line_sets(docs, rank).select("d", "tag", "line_no", "k1", "k2", "n", parity.alias("parity"), prefix.alias("prefix")), "line_rows")
-    classes = rows.groupBy("k1", "k2").agg(F.min(F.struct("d", "tag", "line_no")).alias("first"), F.first("n").alias("n"), F.first("parity").alias("parity"), F.first("prefix").alias("prefix"))
+def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """k1, k2 of the later classes of similar pairs."""
+    x = sets.select(F.col("k1").alias("x"), "k2", "codes", "first")
+    y = sets.select(*[F.col(c).alias("y" if c == "k1" else f"{c}_") for c in ("k1", "k2", "codes", "first")])
+    found = pairs.join(x, "x").join(y, "y").where("9 * size(array_intersect(codes, codes_)) >= 4 * (size(codes) + size(codes_))")
+    late = F.col("first_") < F.col("first")
+    return found.select(F.when(late, F.col("x")).otherwise(F.col("y")).alias("k1"), F.when(late, F.col("k2")).otherwise(F.col("k2_")).alias("k2")).distinct()
+
+
+def _led(entries: DataFrame) -> DataFrame:
+    """Pairs (x, y) within the bounds of each entry and the first ones of its list, one in each share of the list."""
+    share = F.pmod(F.xxhash64("x"), F.lit(LEADERS)).alias("share")
+    first = entries.groupBy("code", share).agg(*[F.min_by(c, "d").alias(c) for c in ("x", "p", "o", "q")], F.min("d").alias("d"))
+    return entries.join(_other(first), "code").where("x <> x_").where(_bounds()).select("x", F.col("x_").alias("y")).distinct()
+
+
+def kept_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """d, tag and stay (line numbers) of every text of which a line with words stays (d is doc_id, or LAST where that is
+    null): the first lines of the classes that have no similar earlier one."""
+    levels = rarity(docs)
+    second = F.when(F.col("n") > ONE_LANE, _parity(F.filter("codes", lambda x: x.bitwiseAND(64) != 0))).otherwise(F.lit(0).cast("long"))
+    prefix = F.slice("codes", F.lit(1), F.expr("cast(n div 5 as int) + 1"))
+    rows = line_sets(docs, levels).select("k1", "k2", F.struct("d", "tag", "line_no").alias("first"), "n", _parity(F.col("codes")).alias("p"), second.alias("o"), prefix.alias("prefix"))
+    classes = rows.groupBy("k1", "k2").agg(F.min("first").alias("first"), *[F.first(c).alias(c) for c in ("n", "p", "o", "prefix")])
     classes = scratch.save(classes, "classes")
-    rows = scratch.save(rows.select("d", "tag", "line_no", "k1", "k2"), "line_keys")
-    scratch.drop("line_rows")
 
-    entries = _entries(classes, FIRST_WORDS)
-    earliest = entries.groupBy("code").agg(F.count("*").alias("c"), *[F.min_by(c, "d").alias(o) for c, o in (("x", "y"), ("n", "n_"), ("i", "i_"), ("parity", "parity_"))]).where("c > 1").drop("c")
-    pairs = scratch.save(entries.join(earliest, "code").where("x <> y").where(_bounds()).select("x", "y").distinct(), "star")
-    gone = _verified(pairs, docs, rank, classes, scratch, "gone")
+    # by their hashes alone, as a code's low bits are; the position bound holds for any place no later than the real one
+    hashed = F.slice(F.sort_array(F.transform("prefix", lambda c: F.call_function("shiftleft", c, F.lit(8)))), 1, ANY_WORDS)
+    some = F.array_distinct(F.concat(F.transform(_rarest(f"least({FIRST_WORDS}, size(prefix))"), lambda c: F.call_function("shiftleft", c, F.lit(8))), hashed))
+    entries = _entries(classes.withColumn("open", F.lit(True)), some)
+    entries = entries.withColumn("q", F.expr(f"q & ~{(1 << 33) - 2}"))
+    star = scratch.save(_led(entries), "star")
+    gone = scratch.save(_similar(star, _sets(star, docs, levels, classes, scratch, "star")), "gone")
+    scratch.drop("star", "star_sets")
 
     # the words are joined in turns, by their hash, so that only a part of the entries is shuffled at a time
-    found = gone.select("k1", "k2")
-    open_ = classes.join(F.broadcast(found) if found.count() <= BROADCAST_CLASSES else found, ["k1", "k2"], "left_anti")
-    turns = []
+    known = classes.join(_small(gone).withColumn("open", F.lit(False)), ["k1", "k2"], "left").withColumn("open", F.coalesce("open", F.lit(True)))
+    turns, order = [], "shiftright(q, 33) < shiftright(q_, 33) or (shiftright(q, 33) = shiftright(q_, 33) and x < x_)"
     for turn in range(TURNS):
         mine = F.pmod(F.col("code"), F.lit(TURNS)) == turn
-        x = _entries(open_).where(mine)
-        y = _entries(classes).where(mine).select("code", *[F.col(c).alias(f"{c}_" if c != "x" else "y") for c in ("i", "x", "n", "parity", "d")])
-        turns.append(scratch.save(x.join(y, "code").where("x <> y and d_ <= d").where(_bounds()).select("x", "y").distinct(), f"turn{turn}"))
-    more = reduce(DataFrame.union, turns).distinct()
-    more = scratch.save(more, "rest")
+        smaller, larger = (_entries(known, _rarest(f"cast(n div {part} as int) + 1")).where(mine) for part in (9, 5))
+        both = smaller.join(_other(larger), "code").where(order).where(_bounds())
+        turns.append(scratch.save(both.select("x", F.col("x_").alias("y")).distinct(), f"turn{turn}"))
+    more = scratch.save(reduce(DataFrame.union, turns).distinct(), "rest")
     scratch.drop(*(f"turn{turn}" for turn in range(TURNS)))
-    gone = gone.union(_verified(more, docs, rank, classes, scratch, "gone_late"))
-    heads = classes.select("k1", "k2", "first").join(gone.withColumn("gone", F.lit(True)), ["k1", "k2"], "left")
-    judged = rows.select("d", "tag", "line_no", "k1", "k2").join(heads, ["k1", "k2"])
-    out = judged.where(F.col("gone") | (F.struct("d", "tag", "line_no") != F.col("first"))).select("d", "tag", "line_no").distinct()
-    out = scratch.save(out, "removed")
-    scratch.drop("line_keys", "classes", "star", "rest", "gone", "gone_late")
+    late = scratch.save(_similar(more, _sets(more, docs, levels, classes, scratch, "rest")), "gone_late")
+    left = classes.select("k1", "k2", "first").join(_small(gone), ["k1", "k2"], "left_anti").join(_small(late), ["k1", "k2"], "left_anti")
+    out = scratch.save(left.groupBy("first.d", "first.tag").agg(F.sort_array(F.collect_list("first.line_no")).alias("stay")), "stay")
+    scratch.drop("classes", "rest", "rest_sets", "gone", "gone_late")
     return out
 
 
+def _with_removed(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """The columns of ``docs`` as c0, c1 ..., the text t, n_lines, and the numbers of the lines with a word that don't
+    stay."""
+    kept = kept_lines(docs, scratch)
+    columns = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)]
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(*columns, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), text.alias("t"))
+    joined = keyed.withColumn("tag", F.xxhash64("t")).join(_small(kept), ["d", "tag"], "left")
+    split = joined.withColumn("_lines", F.split(_spaced("t"), "\n", -1))
+    worded = F.filter(F.transform("_lines", lambda x, i: F.when(F.trim(x) != "", i)), lambda i: i.isNotNull())
+    removed = F.array_except(worded, F.coalesce("stay", F.array().cast("array<int>")))
+    return split.select(*[f"c{i}" for i in range(len(columns))], "t", F.size("_lines").alias("n_lines"), removed.alias("removed"))
+
+
 def report(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """doc_id, n_lines, n_removed and removed_lines (sorted line numbers from 0) of each row."""
-    removed = repeated_lines(docs, scratch).groupBy("d", "tag").agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines"))
-    rows = _keyed(docs).select("d", "tag", F.size(F.split("text", "\n", -1)).cast("long").alias("n_lines"))
-    out = rows.join(removed, ["d", "tag"], "left").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<int>")))
-    return out.select(F.when(F.col("d") != LAST, F.col("d")).alias("doc_id"), "n_lines", F.size("removed_lines").cast("long").alias("n_removed"), "removed_lines")
+    rows = _with_removed(docs.select("doc_id", "text"), scratch)
+    return rows.select(F.col("c0").cast("long").alias("doc_id"), F.col("n_lines").cast("long").alias("n_lines"), F.size("removed").cast("long").alias("n_removed"), F.col("removed").alias("removed_lines"))
 
 
 def without_repeats(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """``docs`` with the lines that stay; n_chars, where there is one, is that of the new text."""
-    removed = repeated_lines(docs, scratch).groupBy("d", "tag").agg(F.collect_list("line_no").alias("gone"))
     at = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    keyed = docs.select(*[F.col(f"`{c}`").alias(a) for c, a in at.items()], F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), F.xxhash64(text).alias("tag"))
-    joined = keyed.join(removed, ["d", "tag"], "left")
-    joined = joined.withColumn("lines", F.when(F.col("gone").isNotNull(), F.split(at["text"], "\n", -1)))
+    rows = _with_removed(docs, scratch)
+    whole = F.size("removed") == 0
     # array_except hashes the line numbers, so a long text with many repeats takes linear time
-    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    whole = F.col("gone").isNull()
-    out = joined.withColumn(at["text"], F.when(whole, F.col(at["text"])).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")))
+    rows = rows.withColumn("lines", F.when(~whole, F.split("t", "\n", -1)))
+    stay = F.array_except(F.sequence(F.lit(0), F.col("n_lines") - 1), F.col("removed"))
+    out = rows.withColumn(at["text"], F.when(whole, F.col(at["text"])).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n")))
     if "n_chars" in at:
         out = out.withColumn(at["n_chars"], F.when(whole, F.col(at["n_chars"])).otherwise(F.char_length(at["text"]).cast("long")))
     return out.select(*[F.col(a).alias(c) for c, a in at.items()])
