@@ -8,7 +8,7 @@ of a lower rank than its own; the rest of that word's positions then go back to
 lowest rank first and its leftmost position first, as an encoder that handles one word at a time would.
 
 A word that is itself in the vocabulary is one token. The texts' ids are the words' ids in order. Special tokens
-are ordinary text.
+are ordinary text. A text is held whole, with its words, in a worker.
 
 Nulls: a null text is empty: no ids, and the digests of no bytes. Repeated rows each give a row. Extra columns
 are kept unless they bear an output's name, which then has the output's value. An empty table gives no rows.
@@ -19,7 +19,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections import defaultdict
+import sys
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,11 @@ from pyspark.sql import types as T
 
 #: Words whose ids a task remembers, and characters of text whose words are replayed together.
 REMEMBERED_WORDS = 400_000
-BLOCK_CHARS = 2_000_000
+BLOCK_CHARS = 1_000_000
+#: Whether C's unsigned int is little-endian with 32 bits.
+NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Pairs of tokens whose merge a task remembers.
+REMEMBERED_PAIRS = 500_000
 
 
 class Vocabulary:
@@ -45,14 +50,16 @@ class Vocabulary:
         self.bytes = {i: b for b, i in self.ranks.items()}
         self.pattern = regex.compile(pattern)
         self.single = [self.ranks[bytes([i])] for i in range(256)]
-        self.pairs: dict[tuple[int, int], int] = {}
+        self.pairs: dict[int, int] = {}
+        # ids of what two bytes make
+        self.two = np.array([self.ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
 
     def merged(self, a: int, b: int) -> int:
         """Id of the token that a and b make, or -1."""
-        key = (a, b)
+        key = a << 32 | b
         got = self.pairs.get(key)
         if got is None:
-            if len(self.pairs) > 2_000_000:
+            if len(self.pairs) > REMEMBERED_PAIRS:
                 self.pairs.clear()
             got = self.pairs[key] = self.ranks.get(self.bytes[a] + self.bytes[b], -1)
         return got
@@ -71,31 +78,35 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
 def replay(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
     """Ids of each word, by applying every merge over all the words in rank order."""
     out: list[list[int]] = [[] for _ in words]
-    token: list[int] = []
-    word_of: list[int] = []
-    begins: list[int] = []
+    open_ = []
     for w, word in enumerate(words):
         whole = vocab.ranks.get(word)
-        if whole is not None or not word:
-            out[w] = [whole] if word else []
-            continue
-        begins.append(len(token))
-        token.extend(vocab.single[b] for b in word)
-        word_of.extend([w] * len(word))
-    total = len(token)
-    after, before = list(range(1, total + 1)), list(range(-1, total - 1))
-    for b in begins:
-        before[b] = -1
-        if b:
-            after[b - 1] = total
-    if total:
-        after[total - 1] = total
-    index: dict[int, list[int]] = defaultdict(list)
+        if whole is None and word:
+            open_.append(w)
+        elif word:
+            out[w] = [whole]
+    size = np.array([len(words[w]) for w in open_], np.int64)
+    raw = np.frombuffer(b"".join([words[w] for w in open_]), np.uint8)
+    total = len(raw)
+    ends = np.cumsum(size)
+    token: list[int] = np.array(vocab.single)[raw].tolist()
+    word_of: list[int] = np.repeat(open_, size).tolist()
+    begins: list[int] = (ends - size).tolist()
+    link = np.arange(1, total + 1)
+    link[ends - 1] = total
+    after: list[int] = link.tolist()
+    link = np.arange(-1, total - 1)
+    link[begins] = -1
+    before: list[int] = link.tolist()
+    # where each pair of neighbouring bytes stands, by the rank of its merge
+    rank_of = np.full(total, -1, np.int64)
+    rank_of[:-1] = vocab.two[raw[:-1].astype(np.int64) << 8 | raw[1:]] if total else -1
+    rank_of[ends - 1] = -1
+    place = np.flatnonzero(rank_of >= 0)
+    place = place[np.argsort(rank_of[place], kind="stable")]
+    ranks, cut = np.unique(rank_of[place], return_index=True)
+    index: dict[int, list[int]] = {r: x.tolist() for r, x in zip(ranks.tolist(), np.split(place, cut[1:]), strict=True)} if len(ranks) else {}
     merged = vocab.merged
-    for i in range(total):
-        j = after[i]
-        if j < total and (rank := merged(token[i], token[j])) >= 0:
-            index[rank].append(i)
     queue = list(index)
     heapq.heapify(queue)
     while queue:
@@ -118,22 +129,28 @@ def replay(words: list[bytes], vocab: Vocabulary) -> list[list[int]]:
             if k < total:
                 before[k] = i
                 if (r := merged(rank, token[k])) >= 0:
-                    if r not in index:
+                    if r in index:
+                        index[r].append(i)
+                    else:
                         heapq.heappush(queue, r)
-                    index[r].append(i)
+                        index[r] = [i]
                     if r <= rank:
                         held.add(word_of[i])
             h = before[i]
             if h >= 0 and (r := merged(token[h], rank)) >= 0:
-                if r not in index:
+                if r in index:
+                    index[r].append(h)
+                else:
                     heapq.heappush(queue, r)
-                index[r].append(h)
+                    index[r] = [h]
                 if r <= rank:
                     held.add(word_of[i])
         if again:
-            if rank not in index:
+            if rank in index:
+                index[rank] += again
+            else:
                 heapq.heappush(queue, rank)
-            index[rank].extend(again)
+                index[rank] = again
     for b in begins:
         i, ids = b, out[word_of[b]]
         while i < total:
@@ -155,7 +172,7 @@ class Encoder:
             self.known.clear()
             new = list(words)
         for w, ids in zip(new, replay([w.encode() for w in new], self.vocab), strict=True):
-            self.known[w] = np.array(ids, "<u4").tobytes()
+            self.known[w] = array("I", ids).tobytes() if NATIVE else np.array(ids, "<u4").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text."""
