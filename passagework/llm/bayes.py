@@ -4,17 +4,19 @@
    lengths, repeats) and over marker words. They are fitted to a bounded sample of labelled rows: ``FIT_ROWS``, those
    with the least hashes of doc_id. Marker words are the ``MARKERS`` words of the sample that tell the labels apart
    best (the signed root of the likelihood ratio).
-2. Every document is scored. Sites are summed in grouped aggregations: the mean probability of each host and of each
-   path below it (here: source, and language within the source), over all documents.
+2. Every document is scored. Sites are summed in grouped aggregations over all documents: each host, and each path below
+   it (here: source, and language within the source). A labelled document counts with its label, any other with the
+   probability that its evidence gives.
 3. A host's rate is shrunk towards the global rate, and a path's towards its host's, by a beta prior whose strength is
-   fitted to the spread of the sites by moments; sparse sites take the rate above them.
-4. A document's log odds are its evidence plus the difference between its path's and the global log odds, at most
-   ``SITE_LIMIT`` either way, so that a site alone never condemns a document that shows nothing.
+   fitted to the spread of the sites by moments; sparse sites take the rate above them. A document's own share is left
+   out of the rates that it is judged by.
+4. A document's log odds are its evidence plus the difference between its path's and the global log odds.
 
 Kept: toxic < 0.5 and quality >= 0.5. Nulls: a null text is an empty one; a null source or language is a site of its
 own. Labelled documents that are missing, and null labels, are ignored; without usable labels of both kinds a model
-gives 0.5 for quality and 0 for toxicity. Repeated rows each count. Extra columns are ignored. An empty table gives
-no rows.
+gives 0.5 for quality and 0 for toxicity. Repeated rows each count, repeated labels of a document are averaged, ties
+between marker words go by hash. Extra columns are ignored. An empty table gives no rows. A text is held whole in a
+worker, with some 60 times its bytes.
 """
 
 from __future__ import annotations
@@ -32,9 +34,9 @@ from .words import find_words, slices
 FIT_ROWS = 20_000
 MARKERS = 256
 LEAST_ROOT = 5.0
-SITE_LIMIT = 1.0
-#: Rates of sites are broadcast up to so many sites (some 100 bytes each), else joined by a shuffle.
-BROADCAST_SITES = 200_000
+#: Sums of sites, and labels, are broadcast up to so many rows (some 100 bytes each), else joined by a shuffle.
+BROADCAST_ROWS = 200_000
+TARGETS = ("low", "toxic")
 STRUCTURE = 10
 
 _upper, _digit, _symbol, _shout, _line, _bar, _any = (np.zeros(256, bool) for _ in range(7))
@@ -183,11 +185,21 @@ def _logit(p) -> F.Column:
     return F.ln(safe / (1 - safe))
 
 
-def site_rates(scored: DataFrame, targets: tuple[str, ...] = ("low", "toxic")) -> DataFrame:
-    """host, path and for each target the shift of log odds that the path's rate gives."""
-    paths = scored.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(_sigmoid(F.col(t))).alias(t) for t in targets])
-    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), *[F.sum(t).alias(f"h_{t}") for t in targets])
-    everywhere = hosts.agg(F.sum("hn").alias("gn"), *[(F.sum(f"h_{t}") / F.sum("hn")).alias(f"g_{t}") for t in targets])
+def with_labels(scored: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """``scored`` with y_low and y_toxic: the label, or else the probability that the evidence gives."""
+    known = labels.where("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.avg(1 - F.col("quality")).alias("l_low"), F.avg(F.col("toxic")).alias("l_toxic"))
+    known = scratch.save(known, "known")
+    small = known.count() <= BROADCAST_ROWS
+    joined = scored.join(F.broadcast(known) if small else known, "doc_id", "left")
+    return joined.select("doc_id", "host", "path", *TARGETS, *[F.coalesce(F.col(f"l_{t}").cast("double"), _sigmoid(F.col(t))).alias(f"y_{t}") for t in TARGETS])
+
+
+def site_sums(given: DataFrame) -> DataFrame:
+    """host, path, the sums of the path (n, p_*) and of its host (hn, h_*), the global rates (g_*) and the strengths of
+    the priors of paths (sp_*) and of hosts (sh_*)."""
+    paths = given.groupBy("host", "path").agg(F.count("*").alias("n"), *[F.sum(f"y_{t}").alias(f"p_{t}") for t in TARGETS])
+    hosts = paths.groupBy("host").agg(F.sum("n").alias("hn"), *[F.sum(f"p_{t}").alias(f"h_{t}") for t in TARGETS])
+    everywhere = hosts.agg(*[(F.sum(f"h_{t}") / F.sum("hn")).alias(f"g_{t}") for t in TARGETS])
 
     def strength(table: DataFrame, of: dict[str, tuple[str, str, str]]) -> DataFrame:
         """One row: how many documents a prior weighs, from the spread of rates around the level above."""
@@ -200,12 +212,24 @@ def site_rates(scored: DataFrame, targets: tuple[str, ...] = ("low", "toxic")) -
         return table.agg(*out)
 
     h = hosts.join(F.broadcast(everywhere))  # one row
-    h = h.join(F.broadcast(strength(h, {f"s_{t}": (f"h_{t}", "hn", f"g_{t}") for t in targets})))
-    h = h.select("host", *[f"g_{t}" for t in targets], *[((F.col(f"h_{t}") + F.col(f"g_{t}") * F.col(f"s_{t}")) / (F.col("hn") + F.col(f"s_{t}"))).alias(f"r_{t}") for t in targets])
-    p = paths.join(h, "host")
-    p = p.join(F.broadcast(strength(p, {f"s_{t}": (t, "n", f"r_{t}") for t in targets})))
-    shift = lambda t: _logit((F.col(t) + F.col(f"r_{t}") * F.col(f"s_{t}")) / (F.col("n") + F.col(f"s_{t}"))) - _logit(F.col(f"g_{t}"))
-    return p.select("host", "path", *[F.greatest(F.lit(-SITE_LIMIT), F.least(F.lit(SITE_LIMIT), shift(t))).alias(f"shift_{t}") for t in targets])
+    h = h.join(F.broadcast(strength(h, {f"sh_{t}": (f"h_{t}", "hn", f"g_{t}") for t in TARGETS})))
+    p = paths.join(h, "host").withColumns({f"r_{t}": (F.col(f"h_{t}") + F.col(f"g_{t}") * F.col(f"sh_{t}")) / (F.col("hn") + F.col(f"sh_{t}")) for t in TARGETS})
+    p = p.join(F.broadcast(strength(p, {f"sp_{t}": (f"p_{t}", "n", f"r_{t}") for t in TARGETS})))
+    return p.drop(*[f"r_{t}" for t in TARGETS])
+
+
+def posterior(target: str) -> F.Column:
+    """Log odds of a row with its evidence and its site's sums, its own share left out of these."""
+    c = lambda x: F.col(f"{x}_{target}")
+    host = (c("h") - c("y") + c("g") * c("sh")) / (F.col("hn") - 1 + c("sh"))
+    path = (c("p") - c("y") + host * c("sp")) / (F.col("n") - 1 + c("sp"))
+    return F.col(target) + _logit(path) - _logit(c("g"))
+
+
+def judge(given: DataFrame, sums: DataFrame) -> DataFrame:
+    """doc_id, quality, toxic (probabilities) and kept of each row of ``given``."""
+    out = given.join(sums, ["host", "path"]).select("doc_id", F.round(1 - _sigmoid(posterior("low")), 6).alias("quality"), F.round(_sigmoid(posterior("toxic")), 6).alias("toxic"))
+    return out.withColumn("kept", (F.col("toxic") < 0.5) & (F.col("quality") >= 0.5))
 
 
 def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
@@ -214,8 +238,6 @@ def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
     site = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\0")).alias({"source": "host", "lang": "path"}[c])
     given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), site("source"), site("lang"), F.col("text").cast("string").alias("text"))
     scored = scratch.save(given.mapInArrow(_evidence(models), "doc_id long, host string, path string, low double, toxic double"), "evidence")
-    rates = scratch.save(site_rates(scored), "sites")
-    small = rates.count() <= BROADCAST_SITES
-    joined = scored.join(F.broadcast(rates) if small else rates, ["host", "path"])
-    out = joined.select("doc_id", F.round(1 - _sigmoid(F.col("low") + F.col("shift_low")), 6).alias("quality"), F.round(_sigmoid(F.col("toxic") + F.col("shift_toxic")), 6).alias("toxic"))
-    return out.withColumn("kept", (F.col("toxic") < 0.5) & (F.col("quality") >= 0.5))
+    given = with_labels(scored, labels, scratch)
+    sums = scratch.save(site_sums(given), "sites")
+    return judge(given, F.broadcast(sums) if sums.count() <= BROADCAST_ROWS else sums)

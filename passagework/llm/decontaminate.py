@@ -14,12 +14,14 @@ An item retrieved is a leak if ``overlap`` or more of the five-word shingles of
 in the passage. Where items have one text, its last quarter (five words at least) counts as the answer.
 
 Words are runs of letters and digits, A-Z as a-z, so case, marks and line breaks don't hide a leak. The index is
-broadcast; ``MAX_ITEM_WORDS`` bounds one part of it, and a larger benchmark is queried part after part.
+broadcast; ``MAX_ITEM_WORDS`` bounds one part of it, and a larger benchmark is queried part after part, each part with
+the document frequencies, mean length and stride of the whole benchmark, so that its size changes no score.
 
 Nulls: a null or empty text, and an item with fewer words than a shingle, leak nothing but whole equal sequences: an
 item of one to four words is one shingle. Items without words are ignored. A null item_id or doc_id is kept in the
-result. Repeated rows give equal results, which are returned once. Extra columns are ignored. Empty tables give no
-rows.
+result. Repeated rows give equal results, which are returned once; of passages with equal scores the one with more of
+the question is taken. Extra columns are ignored. Empty tables give no rows. A text is held whole in a worker, with some
+30 times its bytes.
 """
 
 from __future__ import annotations
@@ -71,8 +73,39 @@ def _shingle_set(hashes: np.ndarray) -> np.ndarray:
     return np.unique(got)
 
 
-def build_index(items: list[tuple]) -> Index | None:
-    """Of (id, question, answer or None)."""
+@dataclass
+class Stats:
+    """Of all items: how many hold each term, how many there are, and their words."""
+
+    terms: np.ndarray
+    df: np.ndarray
+    items: int = 0
+    words: int = 0
+    longest: int = 0
+
+    def add(self, rows: list[tuple]) -> None:
+        sets = [np.unique(r[1]) for r in rows]
+        found, n = np.unique(np.concatenate([np.repeat(self.terms, 0), *sets]), return_counts=True)
+        both = np.union1d(self.terms, found)
+        df = np.zeros(len(both), np.int64)
+        df[np.searchsorted(both, self.terms)] += self.df
+        df[np.searchsorted(both, found)] += n
+        self.terms, self.df = both, df
+        self.items += len(rows)
+        self.words += sum(len(r[1]) for r in rows)
+        self.longest = max([self.longest, *(len(r[1]) for r in rows)])
+
+    @property
+    def stride(self) -> int:
+        return max(LEAST_STRIDE, self.longest)
+
+
+def no_stats() -> Stats:
+    return Stats(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
+def parse_items(items: list[tuple]) -> list[tuple]:
+    """(id, words, shingles of the question, of the answer) of each (id, question, answer or None) with words."""
     rows = []
     for at in range(0, len(items), 1000):
         some = items[at : at + 1000]
@@ -86,21 +119,27 @@ def build_index(items: list[tuple]) -> Index | None:
                 question, reply = whole[:cut], whole[cut:]
             if len(whole):
                 rows.append((ident, whole, _shingle_set(question), _shingle_set(reply)))
+    return rows
+
+
+def build_index(rows: list[tuple], stats: Stats) -> Index | None:
+    """Of parsed items, which may be a part of those that ``stats`` is of."""
     if not rows:
         return None
     size = np.array([len(r[1]) for r in rows])
     flat = np.concatenate([r[1] for r in rows])
     pairs, tf = np.unique(np.stack([flat, np.repeat(np.arange(len(rows)), size).astype(np.uint64)]), axis=1, return_counts=True)
     term, item = pairs[0], pairs[1].astype(np.int64)
-    terms, first, df = np.unique(term, return_index=True, return_counts=True)
-    idf = np.repeat(np.log1p((len(rows) - df + 0.5) / (df + 0.5)), df)
-    impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] / size.mean()))
+    terms, first, own = np.unique(term, return_index=True, return_counts=True)
+    df = stats.df[np.searchsorted(stats.terms, terms)]
+    idf = np.repeat(np.log1p((stats.items - df + 0.5) / (df + 0.5)), own)
+    impact = idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * size[item] * stats.items / stats.words))
     impact = impact / np.bincount(item, impact)[item]
     most = np.maximum.reduceat(impact, first)
-    of = np.repeat(np.arange(len(terms)), df)
+    of = np.repeat(np.arange(len(terms)), own)
     start = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (item[1:] // BLOCK != item[:-1] // BLOCK)))
     first_block = np.searchsorted(of[start], np.arange(len(terms) + 1))
-    return Index([r[0] for r in rows], terms, np.append(first, len(term)), item, impact, most, first_block, item[start] // BLOCK, np.maximum.reduceat(impact, start), [(r[2], r[3]) for r in rows], max(LEAST_STRIDE, int(size.max())))
+    return Index([r[0] for r in rows], terms, np.append(first, len(term)), item, impact, most, first_block, item[start] // BLOCK, np.maximum.reduceat(impact, start), [(r[2], r[3]) for r in rows], stats.stride)
 
 
 def wand(index: Index, terms: list[int], threshold: float, blocks: list[int]) -> list[tuple[int, float]]:
@@ -235,24 +274,30 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, o
     passage. ``benchmark`` has item_id and text, or item_id, question and answer."""
     spark = docs.sparkSession
     fields = ("question", "answer") if "question" in benchmark.columns else ("text",)
-    found, part, words = None, [], 0
-
-    def query(rows: list[tuple]) -> DataFrame | None:
-        index = build_index(rows)
-        if index is None:
-            return None
-        shared = spark.sparkContext.broadcast(index)
-        return docs.select(F.col(doc_id).cast("long"), F.col("text").cast("string")).mapInArrow(_search(shared, threshold, overlap), HITS)
-
-    # test items are a stated set, read a part at a time
-    for row in benchmark.select(F.col("item_id").cast("long"), *fields).toLocalIterator():
-        part.append((row[0], row[1], row[2] if len(row) > 2 else None))
-        words += sum(len((x or "").split()) for x in row[1:])
-        if words >= MAX_ITEM_WORDS:
-            more = query(part)
-            found, part, words = (more if found is None else found.unionByName(more) if more else found), [], 0
-    more = query(part)
-    found = more if found is None else found.unionByName(more) if more is not None else found
+    asked = benchmark.select(F.col("item_id").cast("long"), *fields)
+
+    def parts() -> Iterator[list[tuple]]:
+        """Parsed items, a part at a time: test items are a stated set."""
+        part, words = [], 0
+        for row in asked.toLocalIterator():
+            part.append((row[0], row[1], row[2] if len(row) > 2 else None))
+            words += sum(len((x or "").split()) for x in row[1:])
+            if words >= MAX_ITEM_WORDS:
+                yield parse_items(part)
+                part, words = [], 0
+        yield parse_items(part)
+
+    stats, found, first = no_stats(), None, None
+    for n, rows in enumerate(parts()):
+        stats.add(rows)
+        first = rows if n == 0 else None
+    # all parts have the statistics of the whole benchmark; where there is one, it isn't read again
+    for rows in parts() if first is None else [first]:
+        index = build_index(rows, stats)
+        if index is not None:
+            shared = spark.sparkContext.broadcast(index)
+            more = docs.select(F.col(doc_id).cast("long"), F.col("text").cast("string")).mapInArrow(_search(shared, threshold, overlap), HITS)
+            found = more if found is None else found.unionByName(more)
     if found is None:
         return spark.createDataFrame([], HITS)
     return found.groupBy("doc_id", "item_id").agg(*[F.round(F.max_by(c, F.struct("score", "question_overlap", "answer_overlap")), 6).alias(c) for c in ("score", "question_overlap", "answer_overlap")])
@@ -262,4 +307,4 @@ def drop_leaking(docs: DataFrame, benchmark: DataFrame, scratch) -> DataFrame:
     """The rows of ``docs`` without a leak."""
     found = scratch.save(leaks(docs, benchmark).select("doc_id").where("doc_id is not null").distinct(), "leaks")
     small = found.count() <= 2_000_000
-    return docs.join(F.broadcast(found) if small else found, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(found) if small else found, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -6,7 +6,8 @@ documents. A host is rejected when its shrunk rate is over ``max_host_rate``, so
 judged mostly by the corpus.
 
 Nulls: a null text has no words; documents without a source share the host ''. Repeated rows each count. Extra
-columns are kept where whole documents are returned. An empty table gives no rows. All is DataFrame functions.
+columns are kept where whole documents are returned. An empty table gives no rows. All is DataFrame functions. A text is
+counted within its row, a very long one with some 100 bytes for each word in one task. Hosts are sources as they stand.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ SPACES = r"[\x20\x09-\x0D]+"
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 MAX_HOST_RATE = 0.5
+#: Texts of more words have their windows told apart by 128 bits, others by 64 less those that a place takes (50 here).
+LONG_TEXT = 1 << 14
 #: Host verdicts are broadcast up to so many rejected hosts (names of some 50 bytes), else joined by a shuffle.
 BROADCAST_HOSTS = 100_000
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -32,6 +35,19 @@ def _repeat_words(keys: Column, bits: Column) -> Column:
     return F.sort_array(F.transform(twice, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), bits) - 1)))
 
 
+def _long_repeats(words: Column, n: Column) -> Column:
+    """The same for windows of long texts, by two whole hashes."""
+    three = lambda i: [F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)]
+    keys = F.sort_array(F.transform(F.sequence(F.lit(0), (n - 3).cast("int")), lambda i: F.struct(F.xxhash64(*three(i)).alias("a"), F.xxhash64(F.lit(1), *three(i)).alias("b"), i.cast("long").alias("at"))))
+    # the keys are a field, so that they are sorted once
+    held = F.transform(F.array(keys), lambda k: F.filter(k, lambda x, j: _same(F.get(k, j - 1), x) | _same(F.get(k, j + 1), x)))[0]
+    return F.sort_array(F.transform(held, lambda x: x["at"]))
+
+
+def _same(x: Column, y: Column) -> Column:
+    return F.coalesce((x["a"] == y["a"]) & (x["b"] == y["b"]), F.lit(False))
+
+
 def with_counts(docs: DataFrame) -> DataFrame:
     """``docs`` with the columns of COUNTS and base_failed; same names in ``docs`` are replaced."""
     keep = [c for c in docs.columns if c not in (*COUNTS, "base_failed")]
@@ -41,11 +57,11 @@ def with_counts(docs: DataFrame) -> DataFrame:
     two = one.select(*keep, "n_symbols", "_words", F.size("_words").cast("long").alias("n_words"), F.char_length(F.array_join("_words", "")).cast("long").alias("word_chars"), (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"), F.char_length(F.bin(F.size("_words").cast("long"))).alias("_bits"))
     words = F.col("_words")
     windows = F.when(
-        F.col("n_words") >= 3,
+        (F.col("n_words") >= 3) & (F.col("n_words") <= LONG_TEXT),
         F.sort_array(F.transform(F.sequence(F.lit(0), (F.col("n_words") - 3).cast("int")), lambda i: F.call_function("shiftleft", F.xxhash64(F.get(words, i), F.get(words, i + 1), F.get(words, i + 2)), F.col("_bits")).bitwiseOR(i.cast("long")))),
     ).otherwise(F.array().cast("array<bigint>"))
-    three = two.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "_bits", windows.alias("_keys"))
-    four = three.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", _repeat_words(F.col("_keys"), F.col("_bits")).alias("_at"))
+    three = two.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", "_bits", windows.alias("_keys"), F.when(F.col("n_words") > LONG_TEXT, _long_repeats(words, F.col("n_words"))).alias("_long"))
+    four = three.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.coalesce("_long", _repeat_words(F.col("_keys"), F.col("_bits"))).alias("_at"))
     at = F.col("_at")
     covered = F.aggregate(F.transform(at, lambda x, j: F.least(F.lit(3).cast("long"), F.coalesce(F.get(at, j + 1) - x, F.lit(3).cast("long")))), F.lit(0).cast("long"), lambda a, x: a + x)
     five = four.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", covered.alias("n_repeat_words"))
@@ -67,7 +83,7 @@ def host_verdicts(counted: DataFrame, host: str = "source", max_host_rate: float
 def with_verdicts(counted: DataFrame, scratch: Scratch, host: str = "source", max_host_rate: float = MAX_HOST_RATE) -> DataFrame:
     """``counted`` with host_failed and kept. ``counted`` should be a written table, as it is read twice."""
     bad = scratch.save(host_verdicts(counted, host, max_host_rate).where("host_failed").select("_host", "host_failed"), "hosts")
-    small = len(bad.limit(BROADCAST_HOSTS + 1).select(F.lit(1)).collect()) <= BROADCAST_HOSTS
+    small = bad.count() <= BROADCAST_HOSTS
     keyed = counted.drop("host_failed", "kept").withColumn("_host", F.coalesce(F.col(f"`{host}`").cast("string"), F.lit("")))
     joined = keyed.join(F.broadcast(bad) if small else bad, "_host", "left").drop("_host")
     return joined.withColumn("host_failed", F.coalesce("host_failed", F.lit(False))).withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))

@@ -28,6 +28,8 @@ MIN_REVISIT = 100
 #: Digests of repeated payloads are broadcast up to so many (some 100 bytes each), else joined by a shuffle.
 BROADCAST_DIGESTS = 100_000
 CHUNK = 1 << 16
+#: Bytes of chunk rows held before they are sent on.
+HELD = 1 << 22
 CHUNKS = "archive int, record_id string, page_id long, chunk_no int, last boolean, data binary, digest_so_far string"
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 DATE = "2024-01-01T00:00:00Z"
@@ -51,11 +53,15 @@ def header(page_id: int | None, url: str | None, size: int, digest: str, refers_
     lines = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <{record_id}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha256:{digest}", f"Payload-Length: {size}"]
     if page_id is not None:
         lines.append(f"Page-ID: {page_id}")
-    if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+    if url is not None and ("\r" in url or "\n" in url):
+        # a line can't hold it as it is
+        lines += ["WARC-Target-URI: " + url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A"), "Target-URI-Escaped: yes"]
+    elif url is not None:
+        lines.append("WARC-Target-URI: " + url)
     if refers_to is not None:
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {size if refers_to is None else 0}"]
+        # the response's record may be in any archive; it is the one with this Page-ID
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"Refers-To-Page-ID: {refers_to}"]
+    lines += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {size if refers_to is None else 0}"]
     return ("\r\n".join(lines) + "\r\n\r\n").encode()
 
 
@@ -82,13 +88,17 @@ def write_chunks(batches: Iterator[pa.RecordBatch], chunk: int = CHUNK) -> Itera
             payload = memoryview(column["payload"][i].as_buffer()) if refers is None and size else memoryview(b"")
             running = hashlib.sha256()
             rows.append((archive, record_id, page_id, 0, not len(payload), head if len(payload) else head + b"\r\n\r\n", running.hexdigest()))
+            held += len(head)
+            if held > HELD or len(rows) >= 4096:  # records without a payload too
+                yield out()
+                rows, held = [], 0
             for k, at in enumerate(range(0, len(payload), chunk), 1):
                 piece = payload[at : at + chunk]
                 running.update(piece)
                 last = at + chunk >= len(payload)
                 rows.append((archive, record_id, page_id, k, last, bytes(piece) + b"\r\n\r\n" * last, running.hexdigest()))
                 held += len(piece)
-                if held > 1 << 22 or len(rows) >= 4096:
+                if held > HELD or len(rows) >= 4096:
                     yield out()
                     rows, held = [], 0
     if rows:
@@ -127,8 +137,10 @@ def read_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if got != size or running.hexdigest() != digest or int(fields["Content-Length"]) != got:
                         raise ValueError(f"{record_id}: the payload isn't what the header says")
                     size, digest = got, running.hexdigest()
-                refers = fields.get("WARC-Refers-To")
-                rows.append((int(fields["Page-ID"]) if "Page-ID" in fields else None, fields.get("WARC-Target-URI"), size, digest, kind, int(refers.rpartition(":")[2][:-1]) if refers else None))
+                refers, url = fields.get("Refers-To-Page-ID"), fields.get("WARC-Target-URI")
+                if "Target-URI-Escaped" in fields:
+                    url = url.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+                rows.append((int(fields["Page-ID"]) if "Page-ID" in fields else None, url, size, digest, kind, int(refers) if refers else None))
                 record = None
             if len(rows) >= 8192:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)

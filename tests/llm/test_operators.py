@@ -42,7 +42,9 @@ def test_wand_finds_what_full_scoring_finds():
     import numpy as np
 
     items = [(i, prose(100 + i, 12 + i % 30), None) for i in range(200)]
-    index = decontaminate.build_index(items)
+    rows, stats = decontaminate.parse_items(items), decontaminate.no_stats()
+    stats.add(rows)
+    index = decontaminate.build_index(rows, stats)
     r = np.random.default_rng(1)
     for _ in range(40):
         terms = np.sort(r.choice(len(index.terms), 60, replace=False))
@@ -55,6 +57,63 @@ def test_wand_finds_what_full_scoring_finds():
             assert {i for i, _ in found} == set(np.flatnonzero(score >= threshold * (1 - 1e-9)).tolist())
 
 
+def full_bm25(docs, items):
+    """Leaks by scoring every passage against every item in full."""
+    import math
+
+    own = {i: bare(t or "") for i, t in items}
+    own = {i: w for i, w in own.items() if w}
+    df = Counter(x for w in own.values() for x in set(w))
+    mean = sum(map(len, own.values())) / len(own)
+    stride = max(64, *map(len, own.values()))
+    k1, b = 1.2, 0.75
+
+    def impacts(w):
+        return {x: math.log1p((len(own) - df[x] + 0.5) / (df[x] + 0.5)) * n * (k1 + 1) / (n + k1 * (1 - b + b * len(w) / mean)) for x, n in Counter(w).items()}
+
+    def shingles(w):
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+    table = {i: impacts(w) for i, w in own.items()}
+    out = {}
+    for d, t in docs:
+        w = bare(t or "")
+        starts = [0] + [s for s in range(stride, len(w), stride) if s + stride < len(w)]
+        for s in starts:
+            passage = w[s : s + 2 * stride]
+            has, sh = set(passage), shingles(passage)
+            for i, worth in table.items():
+                score = sum(v for x, v in worth.items() if x in has) / sum(worth.values())
+                cut = len(own[i]) - max(5, len(own[i]) // 4) if len(own[i]) >= 10 else len(own[i])
+                parts = [shingles(own[i][:cut]), shingles(own[i][cut:])]
+                if score >= 0.7 and all(len(p & sh) >= 0.8 * len(p) for p in parts):
+                    out[d, i] = max(out.get((d, i), 0), round(score, 6))
+    return out
+
+
+@pytest.mark.parametrize("most", [decontaminate.MAX_ITEM_WORDS, 100])
+def test_leaks_are_those_of_full_scoring(spark, monkeypatch, most):
+    import random
+
+    monkeypatch.setattr(decontaminate, "MAX_ITEM_WORDS", most)
+    r = random.Random(21)
+    items = [(i, prose(800 + i, r.randint(8, 45))) for i in range(40)]
+    docs = []
+    for d in range(120):
+        parts = [prose(900 + d, r.randint(5, 260))]
+        if d % 2:
+            w = r.choice(items)[1].split()
+            for _ in range(r.choice([0, 0, 1, 2, 4])):
+                w[r.randrange(len(w))] = "other"
+            parts.insert(r.randint(0, 1), " ".join(w))
+        docs.append((d, " ".join(parts)))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.score for x in decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(3), bench).collect()}
+    want = full_bm25(docs, items)
+    assert got.keys() == want.keys() and len(want) > 25
+    assert all(abs(got[x] - want[x]) < 2e-6 for x in want)
+
+
 # 2
 
 
@@ -284,6 +343,21 @@ def test_quality(spark, scratch):
     assert quality.judge(empty(spark), Scratch(spark)).count() == 0
 
 
+def test_repeats_of_long_texts(spark, monkeypatch):
+    import random
+
+    r = random.Random(31)
+    texts = [" ".join(f"w{r.randrange(int(n ** 0.5) + 2)}" for _ in range(n)) for n in (0, 1, 2, 3, 50, 3_000)]
+    texts.append(" ".join(f"w{r.randrange(4_000)}" for _ in range(400_000)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    want = {i: brute_counts(t) for i, t in enumerate(texts)}
+    for least in (quality.LONG_TEXT, 2):
+        monkeypatch.setattr(quality, "LONG_TEXT", least)
+        some = rows if least > 2 else rows.where("doc_id < 6")
+        got = {x.doc_id: tuple(x[c] for c in quality.COUNTS) for x in quality.with_counts(some).collect()}
+        assert got == {i: want[i] for i in got} and len(got) == (7 if least > 2 else 6)
+
+
 def test_hosts_are_shrunk(spark):
     rows = [(h, i < bad) for h, n, bad in (("good", 400, 8), ("bad", 300, 290), ("few", 1, 1)) for i in range(n)]
     got = {r["_host"]: r for r in quality.host_verdicts(spark.createDataFrame(rows, "source string, base_failed boolean")).collect()}
@@ -374,6 +448,36 @@ def test_shards(spark, scratch):
     assert shards.shard(empty(spark), Scratch(spark)).count() == 0
 
 
+def drawn(key, tree):
+    """Shard of a key by hashing anew in Python."""
+    import math
+
+    names = [f"/{r}/{k}/{s}" for r, racks in tree.items() for k, own in racks.items() for s in own]
+
+    def weight(node):
+        return node if isinstance(node, float) else sum(map(weight, node.values()))
+
+    path, node = "", tree
+    while not isinstance(node, float):
+        def worth(x, path=path):
+            i, name, child = x
+            digits = int(hashlib.md5(f"{key}|{path}/{name}".encode()).hexdigest()[:13], 16)
+            return math.log((digits + 0.5) / 2.0**52) / weight(child), -i
+
+        _, name, node = max(((i, n, c) for i, (n, c) in enumerate(node.items())), key=worth) if len(node) > 1 else (0, *next(iter(node.items())))
+        path += f"/{name}"
+    return names.index(path)
+
+
+def test_shards_are_those_of_the_draws(spark, scratch):
+    rows = [(i, f"t{i % 50}") for i in range(500)] + [(None, "without"), (-3, None)]
+    got = shards.shard(spark.createDataFrame(rows, "doc_id long, text string"), scratch).collect()
+    tree = shards.uniform_tree()
+    for r in got:
+        key = str(r.doc_id) if r.doc_id is not None else f"crc{r.text_crc32}"
+        assert (r.shard, r.grown_shard) == (drawn(key, tree), drawn(key, shards.grow(tree)))
+
+
 def test_changed_weights_move_rows_only_into_or_out_of_their_subtree(spark):
     from pyspark.sql import functions as F
 
@@ -443,3 +547,42 @@ def test_classifier(spark, scratch):
     assert bayes.classify(odd(spark), marks.limit(0), Scratch(spark)).count() == len(TEXTS)
     assert bayes.classify(empty(spark), marks, Scratch(spark)).count() == 0
     assert LONG and BASE
+
+
+def test_posteriors_are_those_of_the_formula(spark, scratch):
+    import math
+    import random
+
+    r = random.Random(41)
+    rows = [(i, f"h{i % 5 if i % 3 else 0}", f"p{r.randrange(3)}", r.gauss(-1, 2), r.gauss(-3, 2)) for i in range(300)] + [(300, "alone", "p", 0.5, -2.0)]
+    labels = [(i, r.randrange(2), int(i % 15 == 0)) for i in range(0, 300, 4)] + [(0, 1, 1), (None, 1, 1), (999, 0, 0)]
+    scored = spark.createDataFrame(rows, "doc_id long, host string, path string, low double, toxic double")
+    given = bayes.with_labels(scored, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), scratch)
+    got = {x.doc_id: x for x in bayes.judge(given, bayes.site_sums(given)).collect()}
+    assert len(got) == len(rows)
+    for t, column in ((1, "quality"), (2, "toxic")):
+        own = defaultdict(list)
+        for x in labels:
+            own[x[0]].append(1 - x[1] if t == 1 else x[2])
+        y = {i: sum(own[i]) / len(own[i]) if i in own else 1 / (1 + math.exp(-row[2 + t])) for i, row in enumerate(rows)}
+        g = sum(y.values()) / len(y)
+
+        def prior(sites, above, y=y):
+            n = sum(map(len, sites.values()))
+            rate = {k: sum(y[i] for i in m) / len(m) for k, m in sites.items()}
+            spread = sum(len(m) * (rate[k] - above[k]) ** 2 for k, m in sites.items()) / n
+            return max(1, min(1e6, sum(len(m) * above[k] * (1 - above[k]) for k, m in sites.items()) / n / spread - 1))
+
+        hosts, paths = defaultdict(list), defaultdict(list)
+        for i, row in enumerate(rows):
+            hosts[row[1]].append(i)
+            paths[row[1], row[2]].append(i)
+        sh = prior(hosts, {k: g for k in hosts})
+        mean = {k: (sum(y[i] for i in m) + g * sh) / (len(m) + sh) for k, m in hosts.items()}
+        sp = prior(paths, {k: mean[k[0]] for k in paths})
+        odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+        for i, row in enumerate(rows):
+            h = (sum(y[j] for j in hosts[row[1]] if j != i) + g * sh) / (len(hosts[row[1]]) - 1 + sh)
+            m = paths[row[1], row[2]]
+            p = 1 / (1 + math.exp(-(row[2 + t] + odds((sum(y[j] for j in m if j != i) + h * sp) / (len(m) - 1 + sp)) - odds(g))))
+            assert abs(got[i][column] - (1 - p if t == 1 else p)) < 2e-6
