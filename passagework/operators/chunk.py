@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -44,6 +45,30 @@ def chunk_pages(pages: DataFrame, size: int = CHUNK_WORDS, overlap: int = CHUNK_
     return cut.select("hash", (F.row_number().over(order) - 1).cast("long").alias("ordinal"), "page", "start_line", "end_line", "text")
 
 
+#: Words whose tokens are counted in one call of a tokenizer.
+COUNTED = 2_000
+
+
+def weigh_by(offsets: Callable[[str], list[tuple[int, int]]]) -> Callable[[list[str]], list[int]]:
+    """Word weights from a tokenizer that gives the character ranges of a text's tokens. ``COUNTED`` words go in one
+    call, and a token counts for the word that holds its last character."""
+
+    def weigh(words: list[str]) -> list[int]:
+        out = [0] * len(words)
+        for at in range(0, len(words), COUNTED):
+            some = words[at : at + COUNTED]
+            ends, total = [], 0
+            for w in some:
+                total += len(w) + 1
+                ends.append(total)  # the space after a word goes with it
+            for begin, end in offsets(" ".join(some)):
+                if end > begin:
+                    out[at + bisect.bisect_right(ends, end - 1)] += 1
+        return out
+
+    return weigh
+
+
 def chunk_tokens(contents: DataFrame, weigh: Callable[[list[str]], list[int]], size: int, overlap: int) -> DataFrame:
     """Passages where a word weighs what ``weigh`` says, such as its tokens in a model. Filling is sequential, so it
     runs in Python, a batch of contents at a time; an over-long word is a passage of its own."""

@@ -16,34 +16,61 @@ from ..functions import vectors as V
 QUERY_BLOCK = 4096
 
 
+def _best(q: np.ndarray, d: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k nearest of each query; ties at the end stay for the final order."""
+    order = np.lexsort((d, q))
+    qs, ds = q[order], d[order]
+    first = np.flatnonzero(np.append(True, qs[1:] != qs[:-1]))
+    size = np.diff(np.append(first, len(qs)))
+    bar = ds[first + np.minimum(size, k) - 1]
+    return order[ds <= np.repeat(bar, size)]
+
+
 def knn(vectors: DataFrame, queries: DataFrame, key: list[str], k: int) -> DataFrame:
     """query_id, rank, key, distance and score (1 - d^2 / 2) of the k nearest of each query.
 
-    ``queries`` (query_id, embedding) is a stated set. Each batch of vectors is multiplied with a block of queries and
-    keeps its own best k of each, so what is shuffled is k rows for a query and task at most."""
+    ``queries`` (query_id, embedding) is a stated set, read a block at a time. Each task multiplies its vectors with a
+    block of queries and keeps its own best k of each over all its batches, so what is shuffled is k rows for a query
+    and task, and ties."""
     spark = vectors.sparkSession
-    asked = [(r[0], r[1]) for r in queries.select("query_id", V.doubles(F.col("embedding"))).orderBy("query_id").toLocalIterator()]
     kinds = {f.name: f.dataType.simpleString() for f in vectors.schema.fields}
     schema = "query_id long, " + "".join(f"{c} {kinds[c]}, " for c in key) + "distance double"
     given = vectors.select(*key, V.doubles(F.col("embedding")).alias("embedding"))
+
+    def blocks() -> Iterator[list[tuple]]:
+        block: list[tuple] = []
+        for row in queries.select("query_id", V.doubles(F.col("embedding"))).toLocalIterator():
+            block.append((row[0], row[1]))
+            if len(block) == QUERY_BLOCK:
+                yield block
+                block = []
+        if block:
+            yield block
+
     found = None
-    for at in range(0, len(asked), QUERY_BLOCK):
-        ids = np.array([q for q, _ in asked[at : at + QUERY_BLOCK]], np.int64)
-        shared = spark.sparkContext.broadcast((ids, np.array([v for _, v in asked[at : at + QUERY_BLOCK]], float)))
+    for block in blocks():
+        shared = spark.sparkContext.broadcast((np.array([q for q, _ in block], np.int64), np.array([v for _, v in block], float)))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
+            ids, asked = shared.value
+            held: pa.Table | None = None
             for batch in batches:
                 if not batch.num_rows:
                     continue
-                x = np.array(batch.column(len(key)).to_pylist(), float)
-                if x.shape[1] != q.shape[1]:
-                    raise ValueError(f"vectors of {x.shape[1]} numbers, queries of {q.shape[1]}")
-                d = np.round(np.sqrt(np.maximum(((x * x).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * x @ q.T), 0)), 6)
+                column = batch.column(len(key))
+                flat = column.flatten().to_numpy(zero_copy_only=False)
+                if len(flat) != len(column) * asked.shape[1] or set(np.diff(column.offsets.to_numpy())) != {asked.shape[1]}:
+                    raise ValueError(f"a vector must have {asked.shape[1]} numbers, as the queries have")
+                x = flat.reshape(len(column), -1)
+                d = np.round(np.sqrt(np.maximum((x * x).sum(1)[:, None] + (asked * asked).sum(1)[None] - 2 * x @ asked.T, 0)), 6)
                 n = min(k, len(x))
-                bar = np.partition(d, n - 1, axis=0)[n - 1]
-                row, col = np.nonzero(d <= bar)  # ties at the end stay for the final order
-                yield pa.RecordBatch.from_arrays([pa.array(ids[col]), *[batch.column(c).take(pa.array(row)) for c in range(len(key))], pa.array(d[row, col])], ["query_id", *key, "distance"])
+                row, col = np.nonzero(d <= np.partition(d, n - 1, axis=0)[n - 1])
+                some = pa.table([pa.array(col), *[batch.column(c).take(pa.array(row)) for c in range(len(key))], pa.array(d[row, col])], names=["_q", *key, "distance"])
+                held = some if held is None else pa.concat_tables([held, some]).combine_chunks()
+                held = held.take(pa.array(_best(held["_q"].to_numpy(), held["distance"].to_numpy(), k)))
+            if held is not None:
+                columns = [pa.array(ids[held["_q"].to_numpy()]), *[held[c].combine_chunks() for c in (*key, "distance")]]
+                yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in columns], ["query_id", *key, "distance"])
 
         part = given.mapInArrow(run, schema)
         found = part if found is None else found.unionByName(part)

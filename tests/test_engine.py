@@ -10,6 +10,7 @@ from passagework.functions import text as X
 from passagework.functions import vectors as V
 from passagework.operators import chunk, fuse, keyword, maintenance, metrics, names, nearest, postings, results
 from passagework.schema import DEFAULT_PATTERNS, Filter
+from passagework.streaming import progress
 
 KEY = ["hash", "ordinal"]
 
@@ -184,3 +185,75 @@ def test_problems_count_attempts(spark):
     new = spark.createDataFrame([("a", 1, 1, "crashed"), ("b", 2, 1, "damaged"), ("d", 1, 1, "cloud-only")], kind)
     got = {r.path: (r.reason, r.attempts) for r in maintenance.record_problems(old, new).collect()}
     assert got == {"a": ("crashed", 2), "b": ("damaged", 1), "c": ("encrypted", 3), "d": ("cloud-only", 1)}
+
+
+def test_nearest_is_exact_over_batches(spark):
+    import numpy as np
+
+    from passagework.operators import nearest
+
+    r = np.random.default_rng(5)
+    v = np.round(r.normal(size=(500, 8)), 1)
+    rows = spark.createDataFrame([(i, [float(x) for x in v[i]]) for i in range(500)], "id long, embedding array<double>").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "40")
+    try:
+        got = nearest.knn(rows, rows.where("id % 50 = 0").withColumnRenamed("id", "query_id"), ["id"], 7).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for q in range(0, 500, 50):
+        d = np.round(np.sqrt(((v - v[q]) ** 2).sum(1)), 6)
+        want = sorted(range(500), key=lambda i, d=d: (d[i], i))[:7]
+        assert [x.id for x in sorted((x for x in got if x.query_id == q), key=lambda x: x.rank)] == want
+    with pytest.raises(Exception, match="numbers"):
+        nearest.knn(rows, spark.createDataFrame([(1, [1.0])], "query_id long, embedding array<double>"), ["id"], 1).collect()
+
+
+def test_tokens_and_spellings_stay_in_step(spark):
+    p = passages(spark, ["İstanbul harbour plan", "Straße ÉTÉ z\u0307a"])
+    got = {(x.term, x.surface) for x in postings.postings(p, KEY).collect()}
+    assert {("istanbul", "istanbul"), ("harbour", "harbour"), ("plan", "plan"), ("straße", "straße"), ("ete", "été")} <= got
+    assert all(t and s for t, s in got)
+
+
+def test_tokens_are_counted_in_blocks(monkeypatch):
+    import re
+
+    offsets = lambda t: [m.span() for m in re.finditer(r" ?[a-z]{1,3}|\d", t)]
+    weigh = chunk.weigh_by(offsets)
+    words = ["abcdef", "ab", "12", "x"] * 5
+    want = [2, 1, 2, 1] * 5
+    assert weigh(words) == want
+    monkeypatch.setattr(chunk, "COUNTED", 3)
+    assert weigh(words) == want
+
+
+def test_three_searches_are_judged(spark):
+    from passagework.plans import evaluate as V
+    from passagework.sources.embed import HashingModel
+
+    docs = spark.createDataFrame([("a", "red house by the lake\nwith a green door"), ("b", "blue car on the road\nred house"), ("c", "nothing here " * 30)], "document string, text string")
+    one = spark.createDataFrame([("written", "exact", "en", "a", 2, "green door", "green door"), ("written", "exact", "en", "b", 1, "blue car", "blue car")], "source string, kind string, language string, document string, line long, query string, answer string")
+    two = one.limit(1).withColumn("source", F.lit("made")).withColumn("query", F.lit("missing words"))
+    queries = V.join_sets(one, two)
+    assert queries.count() == 3
+    got = {(r.search, r.group): r for r in V.matrix(docs, queries, [HashingModel(64)], [(200, 30), (20, 5)]).collect() if r.config == "hashing@1 64 200/30"}
+    assert got["words", "source:written"].recall == 1 and got["combined", "source:written"].mrr == 1 and got["words", "all"].queries == 3
+    assert all(0 <= r.ndcg <= 1 for r in got.values())
+
+
+def test_runs_are_two_stages_and_coalesce():
+    from passagework.streaming.incremental import Runner
+
+    log = []
+    runner = Runner(lambda: (log.append("w"), [runner.ask() for _ in range(3)] if log == ["w"] else None), lambda: log.append("m"))
+    assert runner.ask() == 4 and log == ["w", "m", "w", "m"]
+    log.clear()
+    stop = Runner(lambda: (log.append("w"), stop.pause("battery")), lambda: log.append("m"))
+    assert stop.ask() == 1 and log == ["w"] and stop.paused == "battery"
+    assert stop.resume() == 1 and log == ["w", "m"]
+
+
+def test_samples_of_a_pace(spark):
+    rows = [("s", t, d, 10) for t, d in ((0, 0), (0, 1), (1, 2), (1, 3), (5, 4))] + [("s", 6, 1, 20), ("s", 9, 4, 20)]
+    got = progress.sampled(spark.createDataFrame(rows, "stage string, t long, done long, total long")).orderBy("t").collect()
+    assert [(r.t, r.done, r.run) for r in got] == [(0, 0, 0), (1, 2, 0), (5, 4, 0), (6, 1, 1), (9, 4, 1)]
