@@ -301,6 +301,12 @@ def test_lines(spark, scratch):
     assert got == {i: want.get(i, []) for i, _ in rows}
 
 
+def test_lines_that_share_a_rare_word_only(spark, scratch):
+    rows = [(i, f"sharedword {prose(5000 + i, 12)}".replace("\n", " ")) for i in range(3000)] + [(5000 + i, f"sharedword {prose(5000 + i, 12)}".replace("\n", "  ").upper()) for i in range(40)]
+    got = {x.doc_id: x.removed_lines for x in lines.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), scratch).collect()}
+    assert all(got[5000 + i] == [0] for i in range(40)) and sum(len(v) for v in got.values()) == 40
+
+
 def test_lines_of_odd_rows(spark, scratch):
     out = lines.without_repeats(odd(spark), scratch)
     assert out.columns == odd(spark).columns and out.count() == len(TEXTS)

@@ -4,12 +4,13 @@ import hashlib
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from passagework.llm import decontaminate, quality
 from passagework.llm.scratch import Scratch
 
-from .cases import TEXTS, odd, prose
+from .cases import TEXTS, empty, odd, prose
 from .test_operators import brute_components, brute_lines
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -51,6 +52,18 @@ def test_stages(spark, tmp_path):
     assert len(TEXTS) and {53} <= {r.doc_id for r in last}
 
 
+def test_an_empty_table_and_clashing_columns(spark, tmp_path):
+    pytest.importorskip("public_tokenizers")
+    spark.createDataFrame([(1, prose(50, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    empty(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    docs = odd(spark).withColumn("a.b", F.lit("dot"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns, name
+        assert {r["a.b"] for r in out.collect()} == {"dot"}, name
+
+
 def test_entry_has_every_operator():
     import __spark_entry__ as entry
 
