@@ -2,6 +2,12 @@
 
 Each stage is a function (spark, docs, sf_dir) -> DataFrame of the rows that go on; all but the last return the columns
 of documents. ``run`` writes each stage's rows to the shared folder and rereads them for the next.
+
+In every stage: a null text counts as an empty one; rows without a doc_id take part (quality rules, lines, encoding) or
+are left alone (near duplicates, benchmark); repeated rows are judged alike, so that of equal texts under one doc_id
+all stay or go; an empty table gives no rows; columns beyond those of documents go through, whatever their names, but
+for the last stage, which names its own. Texts are worked on whole; one takes some 100 times its bytes in a task at
+most. Ties: of similar lines and documents the one with the smallest doc_id stays.
 """
 
 from __future__ import annotations
