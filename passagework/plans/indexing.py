@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.paths import kind
 from ..operators import chunk, keyword, maintenance, nearest, postings, results
 from ..schema import CHUNK_OVERLAP, CHUNK_WORDS, PROBLEMS, Filter, Limits
 from ..sources import embed as E
@@ -165,7 +164,3 @@ def damage(store: Store) -> DataFrame:
 def problems(store: Store) -> DataFrame:
     """Files that aren't indexed, by path."""
     return store.table("problems").orderBy("path")
-
-
-def wanted_kinds(path) -> F.Column:
-    return kind(path).isNotNull()
