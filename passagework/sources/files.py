@@ -105,7 +105,8 @@ def utf16_without_mark(data: bytes) -> str | None:
 
 
 def _legacy(data: bytes) -> str:
-    """The likeliest of three code pages: the one whose letters beyond ASCII form words of one script."""
+    """The likeliest of three code pages: the one whose letters beyond ASCII form words of one script. Two accented
+    letters running stand in Latin texts too, so of another script's words, each once, half the letters must be in words of three or more."""
     sample = data[:GUESS_FROM]
     best, chosen = None, "cp1252"
     for name, script in (("cp1252", "À-ÖØ-öø-ÿŒœŠšŸŽž"), ("cp1251", "Ѐ-ӿ"), ("cp1256", "؀-ۿ")):
@@ -116,6 +117,9 @@ def _legacy(data: bytes) -> str:
         if name == "cp1251":  # Cyrillic words don't change from small letters to capitals
             joined -= 3 * len(re.findall("[а-яё][А-ЯЁ]", text)) / foreign
         if name != "cp1252":  # a word is of one script
+            found = {w: len(re.findall(f"[{script}]", w)) for w in re.findall(f"[A-Za-z]*[{script}][A-Za-z{script}]*", text)}
+            if 2 * sum(n for w, n in found.items() if n == len(w) > 2) < sum(found.values()):
+                continue
             joined -= 2 * len(re.findall(f"[A-Za-z][{script}]|[{script}][A-Za-z]", text)) / foreign
         # whole words of another script beat single accented letters
         worth = inside + (joined if name != "cp1252" else 0.5 * (joined < 0.3))

@@ -1,5 +1,6 @@
 """Folders, encodings, models, streams and the command line."""
 
+import hashlib
 import os
 
 import numpy as np
@@ -31,6 +32,16 @@ def test_decode(data, text):
     assert files.decode(data) == text
 
 
+def test_decoded_texts_equal_those_encoded(spark, tmp_path):
+    from passagework.plans.queries import load
+
+    texts = ["Anaieux éé èçou éç.", "una " * 20 + "óí. " * 60, "The thing that on èê, le paeu reai.", "Équereç treêê avec. êieroi èç " + "èèé " * 60, "日本語の長い文章です。" * 5, "один два три " * 4, "plain words only, as they are", "don’t – “quoted” words and more words"]
+    rows = [(3 * i + r, t) for i, t in enumerate(texts) for r in range(3)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.hash for r in load()[0]["decode_text"](spark, str(tmp_path)).collect()}
+    assert got == {i: hashlib.sha256(t.encode()).hexdigest() for i, t in rows}
+
+
 def test_decode_takes_any_bytes():
     r = np.random.default_rng(1)
     for _ in range(500):
