@@ -219,7 +219,7 @@ def _keyword_sql(queries: str, limit: int) -> str:
 
 
 def _search(c: Corpus, queries: DataFrame, limit: int) -> DataFrame:
-    return keyword.search(queries, c.index, c.lengths, c.df, c.stats, KEY, limit)
+    return S.keyword_search(c, queries, limit)
 
 
 @register("uncommon_words", with_(B.INDEX + "," + _LITERAL + "," + B.PARSE + "," + B.UNCOMMON, "SELECT query_id, kind, no, text, doc FROM terms"))
@@ -229,24 +229,28 @@ def _(c: Corpus) -> DataFrame:
 
 @register("bm25_topk", with_(_keyword_sql(B.WORDS, 10), "SELECT query_id, hash, ordinal, score, CAST(matched AS BIGINT) AS matched FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash, ordinal) <= 50"))
 def _(c: Corpus) -> DataFrame:
+    c = c.narrowed(c.queries_words)
     terms = keyword.uncommon(keyword.parse(c.queries_words), c.df, c.stats)
-    scored = keyword.bm25(keyword.matches(terms, c.index, KEY), c.lengths, c.stats, KEY)
-    return keyword.top(scored, KEY, 50).select("query_id", *KEY, "score", "matched")
+    found = keyword.matches(terms, c.index, KEY)
+    best = keyword.top(keyword.bm25(found, c.lengths, c.stats, KEY), KEY, 50)
+    return keyword.with_matched(best, found, KEY).select("query_id", *KEY, "score", "matched")
 
 
 @register("keyword_half_rule", with_(_keyword_sql(B.WORDS, 10), "SELECT * FROM kw"))
 def _(c: Corpus) -> DataFrame:
-    return _search(c, c.queries_words, 10)
+    return _search(c.narrowed(c.queries_words), c.queries_words, 10)
 
 
 @register("keyword_phrase", with_(_keyword_sql(B.PHRASE, 10), "SELECT * FROM kw"))
 def _(c: Corpus) -> DataFrame:
-    return _search(c, c.queries_phrase, 10)
+    return _search(c.narrowed(c.queries_phrase), c.queries_phrase, 10)
 
 
 @register("keyword_search", with_(_keyword_sql(_LITERAL, 10) + ", shown AS (SELECT kw.*, path, copies FROM kw JOIN copies USING (hash))", "SELECT query_id, rank, path, copies, hash, ordinal, score, matched FROM shown"))
 def _(c: Corpus) -> DataFrame:
-    hits = _search(c, c.fixed_queries(LITERAL_QUERIES), 10)
+    queries = c.fixed_queries(LITERAL_QUERIES)
+    c = c.narrowed(queries)
+    hits = _search(c, queries, 10)
     return hits.join(results.copies(c.files), "hash").select("query_id", "rank", "path", "copies", *KEY, "score", "matched")
 
 
@@ -405,13 +409,14 @@ def _hybrid_sql(queries: str, meaning: bool, by_name: bool, where: str | None =
 
 @register("rrf_fuse", with_(_keyword_sql(B.WORDS, 50) + "," + B.VECTORS + "," + B.nearest(50) + "," + _fused({"keyword": "kw", "meaning": "mean"}), "SELECT query_id, hash, ordinal, score, rank FROM fused"))
 def _(c: Corpus) -> DataFrame:
+    c = c.narrowed(c.queries_words)
     lists = {"keyword": S.keyword_hits(c, c.queries_words, 50), "meaning": S.meaning_hits(c, c.queries_words, 50)}
     return fuse.fuse(lists, KEY).select("query_id", *KEY, "score", "rank")
 
 
 @register("found_labels", "SELECT found, count(*) AS n FROM (" + _hybrid_sql(B.WORDS, True, True) + ") GROUP BY found")
 def _(c: Corpus) -> DataFrame:
-    return S.search(c, c.queries_words).groupBy("found").agg(F.count("*").alias("n"))
+    return S.search(c.narrowed(c.queries_words), c.queries_words).groupBy("found").agg(F.count("*").alias("n"))
 
 
 _FILTER = Filter(folders=("/corpus/en",), extensions=("txt", "md", "markdown"), modified_since=NOW - 366 * 86400)
@@ -426,7 +431,8 @@ for _name, _q, _sql, _kw in (
 ):
 
     def _hybrid(c: Corpus, q: str = _q, kw: dict = _kw) -> DataFrame:
-        return S.search(c, c.fixed_queries(NAME_QUERIES) if q == "names" else getattr(c, q), **kw)
+        queries = c.fixed_queries(NAME_QUERIES) if q == "names" else getattr(c, q)
+        return S.search(c.narrowed(queries), queries, **kw)
 
     register(_name, _sql)(_hybrid)
 
@@ -436,7 +442,7 @@ for _name, _q, _sql, _kw in (
 
 @register("group_by_file", "SELECT query_id, path, row_number() OVER (PARTITION BY query_id ORDER BY best) AS file_rank, n FROM (SELECT query_id, path, min(rank) AS best, count(*) AS n FROM (" + _hybrid_sql(B.WORDS, False, True) + ") GROUP BY query_id, path)")
 def _(c: Corpus) -> DataFrame:
-    return results.group_by_file(S.search(c, c.queries_words, meaning=False)).select("query_id", "path", "file_rank", F.size("passages").cast("long").alias("n"))
+    return results.group_by_file(S.search(c.narrowed(c.queries_words), c.queries_words, meaning=False)).select("query_id", "path", "file_rank", F.size("passages").cast("long").alias("n"))
 
 
 @register("locations", r"""WITH l AS (SELECT conv_id, turn FROM conversations) SELECT conv_id, turn, 'page ' || (turn + 1) AS paged, CASE WHEN turn = 0 THEN 'line 1' ELSE 'lines 1–' || (turn + 1) END AS lined FROM l""")
@@ -466,7 +472,7 @@ def _(c: Corpus) -> DataFrame:
 
 @register("best_passage_per_file", "SELECT query_id, path, hash, ordinal, rank FROM (" + _hybrid_sql(B.PHRASE, True, True) + ") QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY rank) = 1")
 def _(c: Corpus) -> DataFrame:
-    return results.best_of_file(S.search(c, c.queries_phrase)).select("query_id", "path", *KEY, "rank")
+    return results.best_of_file(S.search(c.narrowed(c.queries_phrase), c.queries_phrase)).select("query_id", "path", *KEY, "rank")
 
 
 @register("file_of_passage", with_(B.passages(), "SELECT p.hash, ordinal, path FROM passages p JOIN copies USING (hash)"))

@@ -257,3 +257,24 @@ def test_samples_of_a_pace(spark):
     rows = [("s", t, d, 10) for t, d in ((0, 0), (0, 1), (1, 2), (1, 3), (5, 4))] + [("s", 6, 1, 20), ("s", 9, 4, 20)]
     got = progress.sampled(spark.createDataFrame(rows, "stage string, t long, done long, total long")).orderBy("t").collect()
     assert [(r.t, r.done, r.run) for r in got] == [(0, 0, 0), (1, 2, 0), (5, 4, 0), (6, 1, 1), (9, 4, 1)]
+
+
+def test_postings_of_asked_terms_and_phrases_by_their_rarest_token(spark, tmp_path):
+    """A corpus narrowed to its queries groups no other terms and writes its matches once; phrases of repeated and of
+    common tokens are found where they stand."""
+    from passagework.plans import search as S
+    from passagework.sources.corpus import Corpus
+
+    texts = ["the the cat sat on the mat", "the cat the cat on", "cat the sat", "on the mat the the", "of the of the zebra"]
+    rows = [(8 * i, t, "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, '"the the"'), (2, '"of the zebra" cat'), (3, '"the cat" sat'), (4, '"missing cat"')]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    whole = Corpus(spark, str(tmp_path))
+    part = whole.narrowed(queries)
+    assert {r.term for r in part.index.select("term").distinct().collect()} == {"the", "of", "zebra", "cat", "sat"}
+    assert part.narrowed(queries) is part
+    hash_of = {r.hash: r.doc_id // 8 for r in whole.listing.collect()}
+    got = [S.keyword_search(c, queries, 10).collect() for c in (part, whole)]
+    assert sorted(map(tuple, got[0])) == sorted(map(tuple, got[1]))
+    assert {(r.query_id, hash_of[r.hash]) for r in got[0]} == {(1, 0), (1, 3), (2, 4), (3, 0), (3, 1)}
