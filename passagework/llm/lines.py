@@ -3,8 +3,8 @@
 A line's set is its distinct words, lower-cased. A line goes if an earlier line, by doc_id and then line number, has a
 set with a Jaccard similarity of 0.8 or more, whether or not that line goes as well. Lines without words stay.
 
-Words are ordered by rarity: by how often words of their hash bucket come (``BUCKETS`` counts over the whole corpus, a
-bounded array in the plan, three levels to each doubling), then by hash. Of two similar sets let the smaller have n
+Words are ordered by rarity: by how often words of their hash bucket come (``BUCKETS`` counts over the whole corpus, one
+array that a scalar subquery reads, three levels to each doubling), then by hash. Of two similar sets let the smaller have n
 words and the larger m. They share 4/9 of n + m at least, so one of these words is among the n // 9 + 1 rarest of the
 smaller and the m // 5 + 1 rarest of the larger. Lists of lines that share such a word are joined under four bounds,
 all exact: by length, by position, by order, and by parity (each word flips one of 64 bits, of 128 where both sets have
@@ -55,26 +55,25 @@ def _spaced(text: str) -> Column:
     return F.when(odd, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(F.col(text))
 
 
-def rarity(docs: DataFrame) -> Column:
-    """An array: level of each hash bucket by how often its words come in the corpus, three to each doubling."""
+def rarity(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """One row, levels: a code's first byte of each hash bucket, by how often its words come, three to each doubling. A table,
+    as a literal of this size would be spelt out in every plan, of which the driver keeps the descriptions."""
     text = docs.select(F.lower(F.col("text").cast("string")).alias("text")).select(_spaced("text").alias("text"))
     given = text.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ", -1)).alias("w")).where("w <> ''")
     counts = given.groupBy(F.xxhash64("w").bitwiseAND(BUCKETS - 1).cast("int").alias("b")).count()
     level = F.least(F.lit(127), F.floor(3 * F.log2(F.col("count"))).cast("int"))
-    row = counts.agg(F.collect_list("b").alias("b"), F.collect_list(level).alias("l")).first()  # BUCKETS at most
-    levels = [0] * BUCKETS
-    for b, x in zip(row["b"], row["l"], strict=True):
-        levels[b] = x
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<tinyint>")
+    every = docs.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b")).join(counts, "b", "left")
+    every = every.select("b", F.call_function("shiftleft", F.coalesce(level, F.lit(0)).cast("long"), F.lit(56)).alias("l"))
+    return scratch.save(every.agg(F.sort_array(F.collect_list(F.struct("b", "l"))).alias("s")).select(F.col("s.l").alias("levels")), "levels")
 
 
-def line_sets(docs: DataFrame, levels: Column, wanted: DataFrame | None = None) -> DataFrame:
+def line_sets(docs: DataFrame, levels: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """d, tag, line_no, codes (the distinct words in their order, as sorted numbers), n, and the class's key k1, k2 of
     every line with a word; with ``wanted``, of its lines (d, tag, line_no) only."""
 
-    def code(h: Column) -> Column:
-        level = F.coalesce(F.get(levels, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("byte"))
-        return F.call_function("shiftleft", level.cast("long"), F.lit(56)).bitwiseOR(F.shiftrightunsigned(h, 8))
+    def code(held: Column, h: Column) -> Column:
+        level = F.coalesce(F.get(held, h.bitwiseAND(BUCKETS - 1).cast("int")), F.lit(0).cast("long"))
+        return level.bitwiseOR(F.shiftrightunsigned(h, 8))
 
     rows = _keyed(docs)
     if wanted is not None:
@@ -84,9 +83,11 @@ def line_sets(docs: DataFrame, levels: Column, wanted: DataFrame | None = None)
     rows = rows.where(F.trim("line") != "")
     if wanted is not None:
         rows = rows.join(wanted, ["d", "tag", "line_no"], "left_semi")
-    hashes = F.transform(F.split(F.lower("line"), " ", -1), lambda w: F.xxhash64(w))
-    codes = F.sort_array(F.array_remove(F.array_distinct(F.transform(hashes, code)), code(F.xxhash64(F.lit("")))))
-    rows = rows.select("d", "tag", "line_no", codes.alias("codes"))
+    # a lambda may not hold a subquery; as a column that is read once it is put in place and copied into no row
+    rows = rows.withColumn("levels", levels.scalar())
+    given = F.array(F.struct("levels", F.array_remove(F.split(F.lower("line"), " ", -1), "").alias("words")))
+    codes = F.transform(given, lambda g: F.transform(F.transform(g["words"], lambda w: F.xxhash64(w)), lambda h: code(g["levels"], h)))[0]
+    rows = rows.select("d", "tag", "line_no", F.sort_array(F.array_distinct(codes)).alias("codes"))
     return rows.withColumns({"n": F.size("codes"), "k1": F.xxhash64("codes"), "k2": F.xxhash64(F.lit(1), "codes")})
 
 
@@ -127,7 +128,7 @@ def _small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_CLASSES else table
 
 
-def _sets(pairs: DataFrame, docs: DataFrame, levels: Column, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def _sets(pairs: DataFrame, docs: DataFrame, levels: DataFrame, classes: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """k1, k2, codes and first of the classes in ``pairs`` (x, y), a written table."""
     ids = scratch.save(pairs.select("x").union(pairs.select("y")).distinct().withColumnRenamed("x", "k1"), f"{name}_ids")
     named = scratch.save(classes.select("k1", "k2", "first").join(_small(ids), "k1", "left_semi"), f"{name}_named")
@@ -157,7 +158,7 @@ def _led(entries: DataFrame) -> DataFrame:
 def kept_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """d, tag and stay (line numbers) of every text of which a line with words stays (d is doc_id, or LAST where that is
     null): the first lines of the classes that have no similar earlier one."""
-    levels = rarity(docs)
+    levels = rarity(docs, scratch)
     second = F.when(F.col("n") > ONE_LANE, _parity(F.filter("codes", lambda x: x.bitwiseAND(64) != 0))).otherwise(F.lit(0).cast("long"))
     prefix = F.slice("codes", F.lit(1), F.expr("cast(n div 5 as int) + 1"))
     rows = line_sets(docs, levels).select("k1", "k2", F.struct("d", "tag", "line_no").alias("first"), "n", _parity(F.col("codes")).alias("p"), second.alias("o"), prefix.alias("prefix"))
@@ -186,7 +187,7 @@ def kept_lines(docs: DataFrame, scratch: Scratch) -> DataFrame:
     late = scratch.save(_similar(more, _sets(more, docs, levels, classes, scratch, "rest")), "gone_late")
     left = classes.select("k1", "k2", "first").join(_small(gone), ["k1", "k2"], "left_anti").join(_small(late), ["k1", "k2"], "left_anti")
     out = scratch.save(left.groupBy("first.d", "first.tag").agg(F.sort_array(F.collect_list("first.line_no")).alias("stay")), "stay")
-    scratch.drop("classes", "rest", "rest_sets", "gone", "gone_late")
+    scratch.drop("classes", "rest", "rest_sets", "gone", "gone_late", "levels")
     return out
 
 

@@ -307,6 +307,19 @@ def test_lines_that_share_a_rare_word_only(spark, scratch):
     assert all(got[5000 + i] == [0] for i in range(40)) and sum(len(v) for v in got.values()) == 40
 
 
+def test_plans_of_lines_stay_short(spark):
+    """The driver keeps a description of every plan, so the rarity of all buckets is read and not spelt out in them."""
+    sizes = []
+
+    class Spy(Scratch):
+        def save(self, df, name, *more):
+            sizes.append(len(df._jdf.queryExecution().toString()))
+            return super().save(df, name, *more)
+
+    lines.report(spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string"), Spy(spark)).collect()
+    assert 5 < len(sizes) and max(sizes) < lines.BUCKETS
+
+
 def test_lines_of_odd_rows(spark, scratch):
     out = lines.without_repeats(odd(spark), scratch)
     assert out.columns == odd(spark).columns and out.count() == len(TEXTS)
