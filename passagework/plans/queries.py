@@ -230,10 +230,7 @@ def _(c: Corpus) -> DataFrame:
 @register("bm25_topk", with_(_keyword_sql(B.WORDS, 10), "SELECT query_id, hash, ordinal, score, CAST(matched AS BIGINT) AS matched FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash, ordinal) <= 50"))
 def _(c: Corpus) -> DataFrame:
     c = c.narrowed(c.queries_words)
-    terms = keyword.uncommon(keyword.parse(c.queries_words), c.df, c.stats)
-    found = keyword.matches(terms, c.index, KEY)
-    best = keyword.top(keyword.bm25(found, c.lengths, c.stats, KEY), KEY, 50)
-    return keyword.with_matched(best, found, KEY).select("query_id", *KEY, "score", "matched")
+    return c.found.keyed(c.found.best(50, whole=False), KEY).select("query_id", *KEY, "score", "matched")
 
 
 @register("keyword_half_rule", with_(_keyword_sql(B.WORDS, 10), "SELECT * FROM kw"))

@@ -278,3 +278,44 @@ def test_postings_of_asked_terms_and_phrases_by_their_rarest_token(spark, tmp_pa
     got = [S.keyword_search(c, queries, 10).collect() for c in (part, whole)]
     assert sorted(map(tuple, got[0])) == sorted(map(tuple, got[1]))
     assert {(r.query_id, hash_of[r.hash]) for r in got[0]} == {(1, 0), (1, 3), (2, 4), (3, 0), (3, 1)}
+
+
+def test_passages_without_lines_equal_those_with(spark):
+    texts = ["", None, " \n\t ", "one", "a\r\nb  c\n\nd e\tf g", " ".join(map(str, range(37)))]
+    rows = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "hash string, text string")
+    for size, overlap in ((3, 1), (7, 0), (200, 30)):
+        whole = chunk.chunk_words(rows, size, overlap).select("hash", "ordinal", "text").collect()
+        assert sorted(map(tuple, whole)) == sorted(map(tuple, chunk.chunk_texts(rows, size, overlap).collect()))
+    # compiled as a whole: no function takes another one, and no filter makes the words twice
+    plan = chunk.chunk_texts(rows)._jdf.queryExecution().executedPlan().toString()
+    assert "lambda" not in plan and plan.count("split(") == 1
+
+
+def test_word_vectors_of_whole_tables_equal_the_columns(spark):
+    texts = ["", "The the THE cat,", "... !!! ---", "Édition İstanbul ΣΑΣ été", "日本語 a b x  ½ Ⅷ", "don't e-mail 3.14 zebra zebra"]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id long, text string")
+    slow = V.with_word_vector(rows, F.col("text")).select("id", "embedding").orderBy("id").collect()
+    assert slow == V.word_vectors(rows, ["id"]).orderBy("id").collect()
+
+
+def test_searches_of_a_narrowed_corpus_equal_those_of_postings(spark, tmp_path):
+    """Matches are found in the passages' rows: marks, words of several tokens, phrases of one token and of repeated ones,
+    terms that several queries share; ranks of equal scores follow the key."""
+    from passagework.plans import search as S
+    from passagework.sources.corpus import Corpus
+
+    texts = ["Été ete été l'eau claire", "the the the cat l eau", "e-mail e mail cat", "cat été", "zebra cat the", "zebra cat the.", "", "filler " * 450 + "cat zebra"]
+    texts += [f"other words number{i}" for i in range(60)]
+    rows = [(8 * i, t, "en", "s") for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    asked = [(1, "été cat"), (2, '"the the" cat'), (3, "l'eau"), (4, '"cat" e-mail'), (5, '"ete ete" "l eau"'), (6, "cat zebra the"), (7, '"zebra the"'), (8, "nothing here"), (9, "...")]
+    queries = spark.createDataFrame(asked, "query_id long, query string")
+    whole = Corpus(spark, str(tmp_path))
+    part = whole.narrowed(queries)
+    ids = part.units.orderBy("id").select(*KEY).collect()
+    assert ids == sorted(ids) and len(ids) == part.passages.count()
+    whole = whole.stored(f"{tmp_path}/stored")
+    got, want = (sorted(map(tuple, S.keyword_search(c, queries, 10).collect())) for c in (part, whole))
+    assert got == want and len({r[0] for r in got}) >= 6
+    held = {r.term: (r.doc, r.cnt) for r in part.df.collect()}
+    assert held == {r.term: (r.doc, r.cnt) for r in whole.df.collect() if r.term in held} and held["ete"] == (2, 4)
