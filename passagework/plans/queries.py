@@ -406,14 +406,14 @@ def _hybrid_sql(queries: str, meaning: bool, by_name: bool, where: str | None =
 
 @register("rrf_fuse", with_(_keyword_sql(B.WORDS, 50) + "," + B.VECTORS + "," + B.nearest(50) + "," + _fused({"keyword": "kw", "meaning": "mean"}), "SELECT query_id, hash, ordinal, score, rank FROM fused"))
 def _(c: Corpus) -> DataFrame:
-    c = c.narrowed(c.queries_words)
+    c = c.narrowed(c.queries_words, meaning=True)
     lists = {"keyword": S.keyword_hits(c, c.queries_words, 50), "meaning": S.meaning_hits(c, c.queries_words, 50)}
     return fuse.fuse(lists, KEY).select("query_id", *KEY, "score", "rank")
 
 
 @register("found_labels", "SELECT found, count(*) AS n FROM (" + _hybrid_sql(B.WORDS, True, True) + ") GROUP BY found")
 def _(c: Corpus) -> DataFrame:
-    return S.search(c.narrowed(c.queries_words), c.queries_words).groupBy("found").agg(F.count("*").alias("n"))
+    return S.search(c.narrowed(c.queries_words, meaning=True), c.queries_words).groupBy("found").agg(F.count("*").alias("n"))
 
 
 _FILTER = Filter(folders=("/corpus/en",), extensions=("txt", "md", "markdown"), modified_since=NOW - 366 * 86400)
@@ -429,7 +429,7 @@ for _name, _q, _sql, _kw in (
 
     def _hybrid(c: Corpus, q: str = _q, kw: dict = _kw) -> DataFrame:
         queries = c.fixed_queries(NAME_QUERIES) if q == "names" else getattr(c, q)
-        return S.search(c.narrowed(queries), queries, **kw)
+        return S.search(c.narrowed(queries, kw.get("meaning", True)), queries, **kw)
 
     register(_name, _sql)(_hybrid)
 
@@ -469,7 +469,7 @@ def _(c: Corpus) -> DataFrame:
 
 @register("best_passage_per_file", "SELECT query_id, path, hash, ordinal, rank FROM (" + _hybrid_sql(B.PHRASE, True, True) + ") QUALIFY row_number() OVER (PARTITION BY query_id, path ORDER BY rank) = 1")
 def _(c: Corpus) -> DataFrame:
-    return results.best_of_file(S.search(c.narrowed(c.queries_phrase), c.queries_phrase)).select("query_id", "path", *KEY, "rank")
+    return results.best_of_file(S.search(c.narrowed(c.queries_phrase, meaning=True), c.queries_phrase)).select("query_id", "path", *KEY, "rank")
 
 
 @register("file_of_passage", with_(B.passages(), "SELECT p.hash, ordinal, path FROM passages p JOIN copies USING (hash)"))
