@@ -230,7 +230,7 @@ def _(c: Corpus) -> DataFrame:
 @register("bm25_topk", with_(_keyword_sql(B.WORDS, 10), "SELECT query_id, hash, ordinal, score, CAST(matched AS BIGINT) AS matched FROM scored QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, hash, ordinal) <= 50"))
 def _(c: Corpus) -> DataFrame:
     c = c.narrowed(c.queries_words)
-    return c.found.keyed(c.found.best(50, whole=False), KEY).select("query_id", *KEY, "score", "matched")
+    return c.found.best(50, whole=False).select("query_id", *KEY, "score", "matched")
 
 
 @register("keyword_half_rule", with_(_keyword_sql(B.WORDS, 10), "SELECT * FROM kw"))
@@ -247,8 +247,8 @@ def _(c: Corpus) -> DataFrame:
 def _(c: Corpus) -> DataFrame:
     queries = c.fixed_queries(LITERAL_QUERIES)
     c = c.narrowed(queries)
-    hits = _search(c, queries, 10)
-    return hits.join(results.copies(c.files), "hash").select("query_id", "rank", "path", "copies", *KEY, "score", "matched")
+    hits = F.broadcast(c.scratch.save(_search(c, queries, 10), "hits", small=True))
+    return results.copies(c.files.join(hits.select("hash").distinct(), "hash", "left_semi")).join(hits, "hash").select("query_id", "rank", "path", "copies", *KEY, "score", "matched")
 
 
 _TERMS = ["the", "und", "de", "that", "ete"]
